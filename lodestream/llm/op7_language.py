@@ -57,15 +57,15 @@ def unit(sets: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
-def fit(sets: np.ndarray, labels: list[str]) -> tuple[np.ndarray, list[str]]:
-    """The cells-by-languages matrix and its languages. The first LANDMARKS rows are landmarks."""
+def fit(bits: np.ndarray, labels: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The cells-by-languages matrix and its languages, from sets as packed bits. The first LANDMARKS rows are landmarks."""
     names = sorted(set(labels))
-    x = unit(sets)
-    marks = x[:LANDMARKS]
+    marks = unit(np.unpackbits(bits[:LANDMARKS], axis=1))
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (x @ marks.T).astype(np.float64) @ root
+    kernel = np.concatenate([unit(np.unpackbits(bits[at : at + ROWS], axis=1)) @ marks.T for at in range(0, len(bits), ROWS)])
+    features = kernel.astype(np.float64) @ root
     # Each language weighs the same, however many of the sampled rows it has.
     share = np.array([1 / labels.count(y) for y in labels])
     share = share / share.mean()
@@ -105,7 +105,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, list[str]] | None:
             chosen.append(r)
     if not chosen:
         return None
-    return fit(np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in chosen]), [r.lang for r in chosen])
+    return fit(np.array([np.frombuffer(r.bits, np.uint8) for r in chosen]), [r.lang for r in chosen])
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
