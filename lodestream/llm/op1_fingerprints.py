@@ -28,47 +28,54 @@ POSITION_BITS = 31
 LEAST = -(1 << 63)
 
 
-def winnow(text: Column, k: int = K, w: int = W) -> Column:
-    """An array of longs in order of position: the upper 33 bits are a kept gram's hash, the lower 31 the position's complement.
+def let(value: Column, body) -> Column:
+    """Evaluates value once; within lambdas, expressions are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def window_count(size: Column, k: int = K, w: int = W) -> Column:
+    """How many windows a text of so many code points has; a short one has one."""
+    return F.when(size > 0, F.greatest(size - (w + k - 2), F.lit(1))).otherwise(F.lit(0))
 
-    Packed like that, the least long of a window is its least hash at its rightmost place. w must be a power of two.
+
+def windows(text: Column, first: Column, end: Column, k: int = K, w: int = W) -> Column:
+    """What the windows first .. end - 1 of a text keep, packed: hash in the upper 33 bits, position in the lower 31.
+
+    While minima are taken, the lower bits count from the right, so that the least long is the least hash at
+    its rightmost place. w must be a power of two.
     """
     if w < 1 or w & (w - 1):
         raise ValueError("w must be a power of two")
-
-    def let(value: Column, body) -> Column:
-        """Evaluates value once; expressions within lambdas are not shared otherwise."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def segment(at: Column) -> Column:
-        return let(F.substring(F.encode(text, "UTF-32"), at * 4 + 1, F.lit(4 * (SEGMENT + w + k - 2))), lambda code: kept(code, at))
-
-    def kept(code: Column, at: Column) -> Column:
-        last = F.greatest((F.octet_length(code) / 4).cast("int") - k, F.lit(0))
-        low = F.lit((1 << POSITION_BITS) - 1) - at
-        minima = let(
-            low,
-            lambda top: F.transform(
-                F.sequence(F.lit(0), last),
-                lambda i: F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * k))).bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR((top - i).cast("bigint")),
-            ),
+    low = F.lit((1 << POSITION_BITS) - 1).cast("bigint")
+    starts = F.when(end > first, F.sequence(first, end - 1, F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
+
+    def segment(code: Column, at: Column) -> Column:
+        size = F.least(F.lit(SEGMENT), end - at) + (w + k - 2)
+        return let(F.substring(code, at * 4 + 1, size * 4), lambda part: kept(part, at))
+
+    def kept(part: Column, at: Column) -> Column:
+        last = F.greatest((F.octet_length(part) / 4).cast("int") - k, F.lit(0))
+        minima = F.transform(
+            F.sequence(last * 4 + 1, F.lit(1), F.lit(-4)),
+            lambda byte, i: F.shiftleft(F.xxhash64(F.substring(part, byte, F.lit(4 * k))), POSITION_BITS).bitwiseOR(i.cast("bigint")),
         )
         step = 1
         while step < w:
-            minima = let(minima, lambda a, s=step: doubled(a, s))
+            minima = let(minima, doubling(step))
             step *= 2
-        return F.array_distinct(minima)
+        return let((at + last).cast("bigint"), lambda rightmost: F.transform(F.reverse(F.array_distinct(minima)), lambda v: v.bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR(rightmost - v.bitwiseAND(low))))
 
-    def doubled(a: Column, step: int) -> Column:
-        return F.when(F.size(a) <= step, F.array(F.array_min(a))).otherwise(
-            F.transform(F.slice(a, F.lit(1), F.size(a) - step), lambda v, i: F.least(v, F.get(a, i + step)))
+    def doubling(step: int):
+        return lambda a: F.when(F.size(a) <= step, F.array(F.array_min(a))).otherwise(
+            F.zip_with(F.slice(a, F.lit(1), F.size(a) - step), F.slice(a, F.lit(step + 1), F.size(a) - step), lambda u, v: F.least(u, v))
         )
 
-    size = F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(size - (w + k - 1), F.lit(0)), F.lit(SEGMENT))
-    return F.when(F.coalesce(size, F.lit(0)) > 0, F.array_distinct(F.flatten(F.transform(starts, segment)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    return F.coalesce(F.array_distinct(F.flatten(let(F.encode(text, "UTF-32"), lambda code: F.transform(starts, lambda at: segment(code, at))))), F.array().cast("array<bigint>"))
+
+
+def winnow(text: Column, k: int = K, w: int = W) -> Column:
+    """The fingerprint of a whole text, as `windows` packs it."""
+    return windows(text, F.lit(0), window_count(F.length(text), k, w), k, w)
 
 
 def grams(fingerprint: Column) -> Column:
@@ -78,7 +85,7 @@ def grams(fingerprint: Column) -> Column:
 
 def positions(fingerprint: Column) -> Column:
     """Where its grams begin."""
-    return F.transform(fingerprint, lambda v: F.lit((1 << POSITION_BITS) - 1) - v.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
+    return F.transform(fingerprint, lambda v: v.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -145,10 +152,20 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)))
         .select("doc_id", *place, n.cast("bigint").alias("n_chars"), "text", "edited")
     )
+    # Windows that lie before the cut are the same in both texts, and are taken once.
+    same = F.greatest(n - cut - (W + K - 2), F.lit(0))
+    keep = ["doc_id", *place, "n_chars"]
     marked = (
-        texts.select("doc_id", *place, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text")).alias("a"), winnow(F.col("edited")).alias("b"))
-        .select("doc_id", *place, "n_chars", "edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"), grams(F.col("a")).alias("a"), grams(F.col("b")).alias("b"))
-        .select("doc_id", *place, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), "a")
+        texts.withColumn("same", same)
+        .select(
+            *keep, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            windows(F.col("text"), F.lit(0), F.col("same")).alias("head"),
+            windows(F.col("text"), F.col("same"), window_count(n)).alias("tail"),
+            windows(F.col("edited"), F.col("same"), window_count(F.length("edited"))).alias("other"),
+        )
+        .select(*keep, "edited_sha256", F.array_distinct(F.concat("head", "tail")).alias("a"), F.array_distinct(F.concat("head", "other")).alias("b"))
+        .select(*keep, "edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"), grams(F.col("a")).alias("a"), grams(F.col("b")).alias("b"))
+        .select(*keep, "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), "a")
     )
     return (
         marked.withColumn("next", F.lead("a").over(order))
