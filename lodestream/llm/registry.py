@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestream.llm import op1_fingerprints as op1
 from lodestream.llm import op2_sharding as op2
 from lodestream.llm import op3_parity_join as op3
+from lodestream.llm import op4_packing as op4
 from lodestream.llm import op5_mixing as op5
 from lodestream.llm import op6_urls as op6
 from lodestream.llm import op7_language as op7
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_fingerprints": op1.op1_fingerprints,
     "op2_sharding": op2.op2_sharding,
     "op3_parity_join": op3.op3_parity_join,
+    "op4_packing": op4.op4_packing,
     "op5_mixing": op5.op5_mixing,
     "op6_urls": op6.op6_urls,
     "op7_language": op7.op7_language,
