@@ -33,7 +33,7 @@ K = 5
 FREQUENT = 8
 FREQUENT_KEPT = 1 << 16
 LINK = (100, 80)
-_WORD, _PLACE, _SET, _SET2 = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F))
+_WORD, _PLACE, _SET = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47))
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +61,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def class_of(sets: np.ndarray, bounds: np.ndarray, seed: np.uint64 = _SET) -> np.ndarray:
+def class_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit word for each set, whatever the order of its hashes."""
-    return signed(mix(per_row(mix(sets ^ seed), bounds) + np.diff(bounds).astype(np.uint64)))
+    return signed(mix(per_row(mix(sets ^ _SET), bounds) + np.diff(bounds).astype(np.uint64)))
 
 
-SKETCHED = "kind int, doc_id long, n long, class long, class2 long"
+SKETCHED = "kind int, doc_id long, n long, class long, text_hash long"
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +85,9 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.concat_arrays([part.column("doc_id").cast(pa.int64()), pa.nulls(len(token), pa.int64())]),
                     pa.array(np.concatenate([np.diff(bounds), count])),
                     pa.array(np.concatenate([class_of(sets, bounds), signed(token)])),
-                    pa.array(np.concatenate([class_of(sets, bounds, _SET2), none])),
+                    pa.concat_arrays([part.column("text_hash"), pa.array(none)]),
                 ],
-                names=["kind", "doc_id", "n", "class", "class2"],
+                names=["kind", "doc_id", "n", "class", "text_hash"],
             )
 
 
@@ -261,11 +261,11 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class) of documents (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, component_id, root) of documents (doc_id, text); root names the component, null for the empty set."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = partitions(spark)
-    described = materialize(docs.mapInArrow(describe, SKETCHED))
+    described = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(describe, SKETCHED))
     slim = described.filter("kind = 0").drop("kind")
     often = described.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT_KEPT).select("class").toArrow()["class"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
@@ -283,9 +283,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots = components(links.unionByName(verify(docs, classes, more)))
     labelled = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = labelled.join(least, "root").select(F.col("class").alias("of_class"), "component_id")
+    names = labelled.join(least, "root").select(F.col("class").alias("of_class"), "component_id", "root")
     return slim.join(names, (F.col("class") == F.col("of_class")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class"
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root"
     )
 
 
