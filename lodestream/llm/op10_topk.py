@@ -161,7 +161,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = documents(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, x -> floor(256 * double(x)))").cast("array<double>").alias("vector"))
+    # floor gives a long: from 2**52 on, doubles are whole numbers already.
+    scaled = F.transform("embedding", lambda x: F.lit(256.0) * x.cast("double"))
+    whole = F.transform(scaled, lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y))
+    vectors = documents(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
     return top_k(vectors, F.col("vec_id") % 50 == 0)
 
 

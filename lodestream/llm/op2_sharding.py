@@ -100,7 +100,10 @@ class Shards:
             new = [at]
         else:
             writer.partitionBy(by).parquet(at)
-            new = [s.getPath().toString() for s in self._fs.listStatus(self._path(at)) if s.isDirectory()] or [at]
+            new = [s.getPath().toString() for s in self._fs.listStatus(self._path(at)) if s.isDirectory()]
+            if not new:  # no rows, hence no folder that could tell the columns
+                arrivals.drop(by).write.mode("overwrite").parquet(at)
+                new = [at]
         return self.commit(have + (self._measured(new) or [{"path": at, "bytes": 0, "rows": 0, "files": 0}]), base)
 
     def tier(self, size: int) -> int:

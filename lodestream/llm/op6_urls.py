@@ -137,12 +137,14 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float] | None:
     bins = labelled.filter(held).mapInArrow(score, "bin long, blocked boolean").groupBy("bin").agg(F.count_if(~F.col("blocked")).alias("a"), F.count_if("blocked").alias("b")).toArrow().to_pydict()
     if not sum(bins["a"]) or not sum(bins["b"]):
         return model, 0.0
-    best, a, b = [], 0, 0
     na, nb = sum(bins["a"]), sum(bins["b"])
-    for edge, more_a, more_b in sorted(zip(bins["bin"], bins["a"], bins["b"], strict=True)):
-        best.append((-(1 - a / na + b / nb), abs(edge * BIN), edge * BIN))  # below the edge: a allowed, b blocked
-        a, b = a + more_a, b + more_b
-    return model, min(best)[2]
+    ordered = sorted(zip(bins["bin"], bins["a"], bins["b"], strict=True))
+    cuts, a, b, end = [], 0, 0, ordered[0][0]
+    for start, more_a, more_b in ordered:
+        middle = (end + start) / 2 * BIN  # of the gap between the bins below and above
+        cuts.append((a / na - b / nb, abs(middle), middle))  # below it: allowed ones lost, blocked ones caught
+        a, b, end = a + more_a, b + more_b, start + 1
+    return model, min(cuts)[2]
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
