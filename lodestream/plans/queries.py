@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators import refs as ops
-from lodestream.sources.refs import REF_SCHEMA
 from lodestream.sources.tables import table
 
 #: Refs to mirror, among them the two names that the behaviour's description gives.
@@ -29,7 +28,7 @@ def _values() -> str:
 
 
 def _refs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REFS, REF_SCHEMA)
+    return spark.sql(f"SELECT * FROM {_values()}")
 
 
 def ref_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
