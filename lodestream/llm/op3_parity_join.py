@@ -8,9 +8,11 @@ over words, is at most the symmetric difference, and that of two linked sets of
 these are a class's keys. The order puts words made of frequent shingles last. Sketches are compared within bands of
 sizes that differ by less than two; a set within a quarter of the lower end is in the band below too.
 
-Classes that share a key are first linked to the least of them; that settles groups of near copies without listing their
-pairs. Then pairs are formed where a key still has classes of several components, only across these. Every candidate is
-verified on whole sets.
+Classes that share a key are first tried with the least of them, then, where a key still has classes of several components,
+with those that meet most others: in a group of near copies these are the ones with fewest changes. That settles groups
+without listing their pairs. Then all pairs are formed under each key, only across components. Candidates must pass a sketch
+of bits as well, in which each shingle flips one: no more bits may differ than shingles can; the last pairs pass it before
+they leave their task. What passes is verified on whole sets.
 
 Sets of under four shingles link to equal sets only. Null and empty texts, and those of white space, have the empty set
 and link to nothing. Rows with one doc_id are documents of their own; a null doc_id is passed over in the least.
@@ -33,7 +35,9 @@ K = 5
 FREQUENT = 8
 FREQUENT_KEPT = 1 << 16
 LINK = (100, 80)
-_WORD, _PLACE, _SET = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47))
+#: Classes of a key that are tried with all others of it before pairs are formed.
+HUBS = 4
+_WORD, _PLACE, _SET, _BIT = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F))
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +70,41 @@ def class_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return signed(mix(per_row(mix(sets ^ _SET), bounds) + np.diff(bounds).astype(np.uint64)))
 
 
-SKETCHED = "kind int, doc_id long, n long, class long, text_hash long"
+SKETCHED = "kind int, doc_id long, n long, class long, text_hash long, sketch binary, small binary"
+
+
+def bit_sketches(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    """For each of the rows a bit sketch: each shingle flips the bit that its hash names, of the power of two that is at least twice the set's size."""
+    size = bounds[rows + 1] - bounds[rows]
+    bits = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(2 * size, 1)))).astype(np.int64)
+    base = np.cumsum(bits) - bits
+    entry = np.repeat(np.arange(len(rows)), size)
+    token = sets[np.arange(len(entry)) - (np.cumsum(size) - size)[entry] + bounds[rows][entry]]
+    at = base[entry] + (mix(token ^ _BIT) & (bits[entry] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little")
+    return [packed[b // 8 : (b + n) // 8].tobytes() for b, n in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits that differ; the longer sketch is folded to the other's length, as if it had been made so long."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def folded(sketch: bytes, most: int = 128) -> bytes:
+    """A sketch of `most` bytes at most: what it had been, made so long."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > most:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document's set size and class. Kind 1: a frequent shingle (in class) and in how many documents (in n)."""
+    """Kind 0: a document's set size and class. 1: a frequent shingle (in class) and in how many documents (in n). 2: a class's bit sketch, once a task."""
+    seen: set[int] = set()
     for batch in batches:
         for part in slices(batch):
             sets, bounds = shingle_sets(part.column("text"))
@@ -78,19 +112,33 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, count = np.unique(sets, return_counts=True)
             often = count >= FREQUENT
             token, count = token[often], count[often]
-            none = np.zeros(len(token), np.int64)
+            size, name = np.diff(bounds), class_of(sets, bounds)
+            new = fresh(name, size, seen)
+            sketches = bit_sketches(sets, bounds, new)
+            more = len(token) + len(new)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.zeros(rows, np.int32), np.ones(len(token), np.int32)])),
-                    pa.concat_arrays([part.column("doc_id").cast(pa.int64()), pa.nulls(len(token), pa.int64())]),
-                    pa.array(np.concatenate([np.diff(bounds), count])),
-                    pa.array(np.concatenate([class_of(sets, bounds), signed(token)])),
-                    pa.concat_arrays([part.column("text_hash"), pa.array(none)]),
+                    pa.array(np.repeat(np.array([0, 1, 2], np.int32), [rows, len(token), len(new)])),
+                    pa.concat_arrays([part.column("doc_id").cast(pa.int64()), pa.nulls(more, pa.int64())]),
+                    pa.array(np.concatenate([size, count, size[new]])),
+                    pa.array(np.concatenate([name, signed(token), name[new]])),
+                    pa.concat_arrays([part.column("text_hash"), pa.nulls(more, pa.int64())]),
+                    *(pa.concat_arrays([pa.nulls(rows + len(token), pa.binary()), pa.array(x, pa.binary())]) for x in (sketches, [folded(x) for x in sketches])),
                 ],
-                names=["kind", "doc_id", "n", "class", "text_hash"],
+                names=["kind", "doc_id", "n", "class", "text_hash", "sketch", "small"],
             )
 
 
+def fresh(name: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Rows of classes, large enough to link to others, that the task hasn't met; they are added to those seen."""
+    new = []
+    for i, (c, n) in enumerate(zip(name.tolist(), size.tolist(), strict=True)):
+        if n >= 4 and c not in seen:
+            seen.add(c)
+            new.append(i)
+    return np.array(new, np.int64)
+
+
 def band_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, bands: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for the given rows as members of the given bands: of each the first n // 4 + 1 words in order."""
     size = bounds[rows + 1] - bounds[rows]
@@ -132,12 +180,7 @@ def emit_keys(frequent):
             for part in slices(batch):
                 sets, bounds = shingle_sets(part.column("text"))
                 n, name = np.diff(bounds), class_of(sets, bounds)
-                new = []
-                for i, c in enumerate(name.tolist()):
-                    if n[i] >= 4 and c not in seen:
-                        seen.add(c)
-                        new.append(i)
-                rows = np.array(new, np.int64)
+                rows = fresh(name, n, seen)
                 own = np.frexp(n[rows].astype(np.float64))[1].astype(np.int64) - 1
                 below = n[rows] * 4 < (np.int64(1) << own) * 5
                 found = [band_keys(sets, bounds, rows, own, often), band_keys(sets, bounds, rows[below], own[below] - 1, often)]
@@ -203,29 +246,55 @@ def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns[1]], names=["kind", "a", "b", "n"])
 
 
+def pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of each key's HUBS classes that meet most others with its classes of other components."""
+    key, name, n, root, met = gathered(batches, ["key", "class", "n", "root", "met"])
+    order = np.lexsort((name, -met, key))
+    key, name, n, root = key[order], name[order], n[order], root[order]
+    starts, size = runs(key)
+    found = []
+    for h in range(HUBS):
+        enough = size > h
+        hub, row = np.repeat(starts[enough] + h, size[enough]), np.flatnonzero(np.repeat(enough, size))
+        good = (root[hub] != root[row]) & near_size(n[hub], n[row])
+        found.append(np.stack([np.minimum(name[hub], name[row])[good], np.maximum(name[hub], name[row])[good]], 1))
+    yield pairs_batch(np.unique(np.concatenate(found), axis=0))
+
+
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of classes under one key in different components, of sizes that can link; a row of the key at a time."""
-    key, name, n, root = gathered(batches, ["key", "class", "n", "root"])
+    """Pairs (a, b) of classes under one key, of different components, whose sizes and small sketches let them link."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    key, name, n, root = gathered(iter(parts), ["key", "class", "n", "root"])
     order = np.lexsort((n, key))
+    small = pa.chunked_array([b.column("small") for b in parts]).to_pylist()
     key, name, n, root = key[order], name[order], n[order], root[order]
     out: list[np.ndarray] = []
     held = 0
-    empty = pa.RecordBatch.from_arrays([pa.array(np.zeros(0, np.int64))] * 2, names=["a", "b"])
-    for start, size in zip(*runs(key), strict=True):
-        end = start + size
-        for i in range(start, end - 1):
-            # Sizes ascend: those that can link to n[i] end where n[i] is under four fifths.
-            last = int(np.searchsorted(n[i + 1 : end], n[i] * LINK[0] // LINK[1], "right")) + i + 1
-            j = np.flatnonzero(root[i + 1 : last] != root[i]) + i + 1
+    for start, size in zip(*(x.tolist() for x in runs(key)), strict=True):
+        rows = slice(start, start + size)
+        own = [small[i] for i in order[rows]]
+        width = min(map(len, own))
+        bits = np.frombuffer(b"".join(folded(x, width) for x in own), np.uint64).reshape(size, -1)
+        m, r, c = n[rows], root[rows], name[rows]
+        for i in range(size - 1):
+            # Sizes ascend: those that can link to m[i] end where m[i] is under four fifths.
+            last = int(np.searchsorted(m, m[i] * LINK[0] // LINK[1], "right"))
+            j = np.flatnonzero(r[i + 1 : last] != r[i]) + i + 1
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= (m[j] + m[i]) // 9]
             if len(j):
-                out.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
+                out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1))
                 held += len(j)
-            if held > 1 << 18:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-                out, held = [], 0
-    pairs = np.unique(np.concatenate(out), axis=0) if out else None
-    yield empty if pairs is None else pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if held > 1 << 18:
+            yield pairs_batch(np.unique(np.concatenate(out), axis=0))
+            out, held = [], 0
+    if out:
+        yield pairs_batch(np.unique(np.concatenate(out), axis=0))
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +317,18 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. classes: (class, first), first a doc_id with the class's set."""
+def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bit sketches differ in no more bits than linked sets of their sizes can in shingles."""
+    for batch in batches:
+        limit = (np.asarray(batch.column("m")) + np.asarray(batch.column("n"))) // 9
+        good = [hamming(*(np.frombuffer(v.as_buffer(), np.uint8) for v in p)) <= d for *p, d in zip(batch.column("x"), batch.column("y"), limit.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def verify(docs: DataFrame, classes: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: first by sketches, then by whole sets. classes: (class, first), first a doc_id with the class's set."""
+    m, x = sketches.select(F.col("class").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), sketches.select(F.col("class").alias("b"), "n", F.col("sketch").alias("y"))
+    pairs = materialize(pairs.join(m, "a").join(x, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(likely, "a long, b long"))
     need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     texts = docs.join(need.join(classes, "class"), docs["doc_id"].eqNullSafe(F.col("first"))).select("class", "text")
     tokens = materialize(texts.mapInArrow(sets_of, "class long, tokens binary").dropDuplicates(["class"]), "lz4")
@@ -266,21 +345,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     parts = partitions(spark)
     described = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(describe, SKETCHED))
-    slim = described.filter("kind = 0").drop("kind")
+    slim = described.filter("kind = 0").drop("kind", "sketch")
+    sketches = described.filter("kind = 2").select("class", "n", "sketch", "small").dropDuplicates(["class"])
     often = described.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT_KEPT).select("class").toArrow()["class"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     classes = slim.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     keys = docs.mapInArrow(emit_keys(frequent), "key long, class long, n long")
     buckets = materialize(keys.repartition(parts, "key").mapInArrow(bucket, BUCKETS))
-    links = verify(docs, classes, buckets.filter("kind = 0").select("a", "b").distinct())
+    links = verify(docs, classes, sketches, buckets.filter("kind = 0").select("a", "b").distinct())
     roots = components(links)
     crowded = buckets.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class"), "n")
-    placed = materialize(crowded.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = materialize(placed.join(mixed, "key", "left_semi").repartition(parts, "key").mapInArrow(across, "a long, b long"))
-    more = rest.distinct()
-    if rest.limit(1).count():
-        roots = components(links.unionByName(verify(docs, classes, more)))
+    def still_mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of keys with classes of several components, by their present roots."""
+        placed = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+        return materialize(placed.join(mixed, "key").select("key", "class", "n", "root", "size"))
+
+    mixed = still_mixed(crowded, roots)
+    if mixed.limit(1).count():
+        met = mixed.groupBy("class").agg(F.sum("size").alias("met"))
+        tried = mixed.join(met, "class").select("key", "class", "n", "root", "met").repartition(parts, "key").mapInArrow(hubs, "a long, b long").distinct()
+        links = links.unionByName(verify(docs, classes, sketches, tried))
+        roots = components(links)
+        mixed = still_mixed(mixed.select("key", "class", "n"), roots)
+        rest = materialize(mixed.join(sketches.select("class", "small"), "class").select("key", "class", "n", "root", "small").repartition(parts, "key").mapInArrow(across, "a long, b long").distinct())
+        if rest.limit(1).count():
+            roots = components(links.unionByName(verify(docs, classes, sketches, rest)))
     labelled = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     names = labelled.join(least, "root").select(F.col("class").alias("of_class"), "component_id", "root")
