@@ -7,8 +7,8 @@ counted first; a run whose anchor is the only one of its kind goes no further.
 Runs with a shared anchor meet in one partition, where a suffix array of their bytes is built in two stages: suffixes
 smaller than their successors are sorted directly, the others are induced by scanning the buckets of first bytes in order.
 Neighbours in it whose common prefix is `LENGTH` long are equal strings; all but the earliest are marked. An anchor with
-over `COMMON` strings is too much for that: its strings are compared by (anchor, 64-bit hash), as an aggregation that
-combines before its shuffle and a join that can be split, so that no passage, however frequent, is one task's work.
+over `COMMON` strings is too much for that: its strings are compared by (anchor, 64-bit hash), within each task first, so
+that only the earliest of a task go further: of each content one from each task, to one partition. No passage, however frequent, is one task's work.
 
 Texts equal to an earlier one are told by a 64-bit hash and need none of this: they go whole if they have `LENGTH` bytes.
 Earlier means: smaller doc_id, null first; of rows with one doc_id smaller hash of the text; of equal rows one is the
@@ -34,7 +34,7 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 COMMON = 1 << 14
 #: Bytes of runs that one suffix array takes.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 LEAST = -(1 << 63)
 
 
@@ -106,41 +106,76 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[row[first]]), pa.array(places), pa.array(strings)], names=["anchor", "text_hash", "places", "strings"])
 
 
-RUNS = "common boolean, anchor long, at long, text_hash long, start long, strings long, bytes binary, content long"
+def compared(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns (anchor, content, at, text_hash, start): the earliest of each content, and the rest."""
+    table = np.concatenate(strings, axis=1) if strings else np.zeros((5, 0), np.int64)
+    order = np.lexsort(table[[4, 3, 2, 1, 0]])
+    table = table[:, order]
+    first = np.ones(table.shape[1], bool)
+    first[1:] = (table[:2, 1:] != table[:2, :-1]).any(axis=0)
+    return table[:, first], table[2:, ~first]
+
+
+def later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of a partition's strings that are not the earliest of their (anchor, content); a content has one string from each task at most."""
+    names = ("anchor", "content", "at", "text_hash", "start")
+    _, (at, ids, start) = compared([np.stack([b.column(c).to_numpy() for c in names]) for b in batches if b.num_rows])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, ids, start, np.ones(len(at), np.int64))], names=["at", "text_hash", "start", "strings"])
+
+
+RUNS = "kind int, anchor long, at long, text_hash long, start long, strings long, bytes binary, content long, twice boolean"
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts (at, text_hash, text, wanted, common) the runs with wanted anchors: with their bytes, or if common, string by string with a hash."""
-    names = [x.split()[0] for x in RUNS.split(", ")]
+    """Of texts (at, text_hash, text, wanted) the runs with wanted anchors.
+
+    Kind 0: a run with its bytes. Common anchors' strings are compared within the task first; kind 1: the earliest of each
+    (anchor, content), kind 2: stretches of others, which are repeats.
+    """
+    fields = [x.split() for x in RUNS.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+    def out(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], types[t]) if k in columns else pa.nulls(n, types[t]) for k, t in fields], names=[k for k, _ in fields])
+
+    def stretches(rest: np.ndarray) -> pa.RecordBatch:
+        rest = rest[:, np.lexsort(rest[::-1])]
+        first = np.ones(rest.shape[1], bool)
+        first[1:] = (rest[:2, 1:] != rest[:2, :-1]).any(axis=0) | (rest[2, 1:] != rest[2, :-1] + 1)
+        begins = np.flatnonzero(first)
+        at, ids, start = rest[:, begins]
+        return out(len(begins), kind=np.full(len(begins), 2), at=at, text_hash=ids, start=start, strings=np.diff(np.append(begins, rest.shape[1])))
+
+    hot: list[np.ndarray] = []
     for batch in batches:
         for part in slices(batch):
             data, offsets = text_bytes(part.column("text"))
             row, start, count, anchor = string_runs(data, offsets)
             ats, ids = part.column("at").to_numpy(), part.column("text_hash").to_numpy()
-            lists = part.column("wanted").combine_chunks() if isinstance(part.column("wanted"), pa.ChunkedArray) else part.column("wanted")
+            lists = part.column("wanted")
             flat = lists.flatten()
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            table = {}
-            for r, a, c in zip(owner.tolist(), flat.field("anchor").to_pylist(), flat.field("common").to_pylist(), strict=True):
-                table[r, a] = c
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            table = dict(zip(zip(owner.tolist(), flat.field("anchor").to_pylist(), strict=True), flat.field("common").to_pylist(), strict=True))
             kind = np.array([table.get(k, -1) for k in zip(row.tolist(), anchor.view(np.int64).tolist(), strict=True)], np.int8)
-            cold, hot = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            nothing = lambda n, t: pa.nulls(n, t)
-            cut = pa.array([data[s : s + c + LENGTH - 1].tobytes() for s, c in zip(start[cold].tolist(), count[cold].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(cold), bool)), pa.array(anchor[cold].view(np.int64)), pa.array(ats[row[cold]]), pa.array(ids[row[cold]]), pa.array(start[cold] - offsets[row[cold]]), pa.array(count[cold]), cut, nothing(len(cold), pa.int64())],
-                names=names,
+            cold, common = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            yield out(
+                len(cold), kind=np.zeros(len(cold), np.int32), anchor=anchor[cold].view(np.int64), at=ats[row[cold]], text_hash=ids[row[cold]], start=start[cold] - offsets[row[cold]], strings=count[cold],
+                bytes=[data[s : s + c + LENGTH - 1].tobytes() for s, c in zip(start[cold].tolist(), count[cold].tolist(), strict=True)],
+                twice=anchor_places(data, start[cold], count[cold], anchor[cold]) > 1,
             )
-            if len(hot):
-                each = np.repeat(hot, count[hot])
-                place = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
-                content = byte_hashes(data, LENGTH)[place]
-                for at in range(0, len(each), 1 << 16):
-                    e, p = each[at : at + (1 << 16)], place[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(len(e), bool)), pa.array(anchor[e].view(np.int64)), pa.array(ats[row[e]]), pa.array(ids[row[e]]), pa.array(p - offsets[row[e]]), pa.array(np.ones(len(e), np.int64)), nothing(len(e), pa.binary()), pa.array(content[at : at + (1 << 16)].view(np.int64))],
-                        names=names,
-                    )
+            if len(common):
+                each = np.repeat(common, count[common])
+                place = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count[common]) - count[common], count[common])
+                hot.append(np.stack([anchor[each].view(np.int64), byte_hashes(data, LENGTH)[place].view(np.int64), ats[row[each]], ids[row[each]], place - offsets[row[each]]]))
+            if sum(x.shape[1] for x in hot[1:]) > 1 << 19:
+                kept_, rest = compared(hot)
+                hot = [kept_]
+                yield stretches(rest)
+    kept_, rest = compared(hot)
+    yield stretches(rest)
+    for i in range(0, kept_.shape[1], 1 << 16):
+        a, c, at, ids, start = kept_[:, i : i + (1 << 16)]
+        yield out(len(a), kind=np.ones(len(a), np.int32), anchor=a, content=c, at=at, text_hash=ids, start=start, strings=np.ones(len(a), np.int64))
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -258,29 +293,39 @@ MARKS = "at long, text_hash long, start long, strings long"
 
 
 def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a partition's runs, some anchors at a time."""
+    """Marks of a partition's runs. Of equal runs the earliest is compared with the others of its anchor, some anchors at a time."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     table = pa.Table.from_batches(parts)
-    anchor = table["anchor"].to_numpy()
-    order = np.argsort(anchor, kind="stable")
-    anchor = anchor[order]
-    count, at, ids, start = (table[c].to_numpy()[order] for c in ("strings", "at", "text_hash", "start"))
+    anchor, count, at, ids, start = (table[c].to_numpy() for c in ("anchor", "strings", "at", "text_hash", "start"))
+    twice, content = table["twice"].to_numpy(), table["bytes"].to_pylist()
     rank = np.lexsort((ids, at))
-    document = np.zeros(len(order), np.int64)
+    document = np.zeros(len(rank), np.int64)
     document[rank] = np.cumsum(np.concatenate([[0], (at[rank][1:] != at[rank][:-1]) | (ids[rank][1:] != ids[rank][:-1])]))
-    size = np.cumsum(count + LENGTH - 1)
-    ends = np.flatnonzero(np.concatenate([anchor[1:] != anchor[:-1], [True]])) + 1
-    content = table["bytes"]
+    order = np.lexsort((start, document, anchor))
+    seen: set[tuple[int, bytes]] = set()
+    first = np.zeros(len(order), bool)
+    for i, (j, a) in enumerate(zip(order.tolist(), anchor[order].tolist(), strict=True)):
+        key = (a, content[j])
+        if key not in seen:
+            seen.add(key)
+            first[i] = True
+    whole = order[~first]
+    batch = lambda rows, begin, strings: pa.RecordBatch.from_arrays([pa.array(x) for x in (at[rows], ids[rows], begin, strings)], names=["at", "text_hash", "start", "strings"])
+    yield batch(whole, start[whole], count[whole])
+    order = order[first]
+    _, group, size = np.unique(anchor[order], return_inverse=True, return_counts=True)
+    order = order[(size[group] > 1) | twice[order]]
+    total = np.cumsum(count[order] + LENGTH - 1)
+    ends = np.flatnonzero(np.concatenate([anchor[order][1:] != anchor[order][:-1], [True]])) + 1 if len(order) else order
     begin = 0
     while begin < len(order):
-        limit = (size[begin - 1] if begin else 0) + BLOCK
-        fits = ends[(ends > begin) & (size[ends - 1] <= limit)]
+        fits = ends[(ends > begin) & (total[ends - 1] <= (total[begin - 1] if begin else 0) + BLOCK)]
         end = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, begin, "right")])
-        pieces = [x.as_buffer().to_pybytes() for x in content.take(pa.array(order[begin:end]))]
-        row, first, strings = mark_block(pieces, count[begin:end], document[begin:end], start[begin:end])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at[begin:end][row], ids[begin:end][row], first, strings)], names=["at", "text_hash", "start", "strings"])
+        rows = order[begin:end]
+        row, place, strings = mark_block([content[j] for j in rows.tolist()], count[rows], document[rows], start[rows])
+        yield batch(rows[row], place, strings)
         begin = end
 
 
@@ -315,12 +360,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     originals = wanted.join(earliest, "text_hash").withColumnsRenamed({"text_hash": "of_hash", "first": "of_at"})
     texts = hashed.join(originals, (F.col("at") == F.col("of_at")) & (F.col("text_hash") == F.col("of_hash"))).select("at", "text_hash", "text", "wanted")
     runs = materialize(texts.mapInArrow(shared_runs, RUNS))
-    cold = runs.filter("not common").select("anchor", "at", "text_hash", "start", "strings", "bytes").repartition(parts, "anchor").mapInArrow(mark, MARKS)
-    hot = runs.filter("common").select("anchor", "content", "at", "text_hash", "start")
-    when = F.struct("at", "text_hash", "start")
-    least = hot.groupBy("anchor", "content").agg(F.min(when).alias("least"))
-    later = hot.join(least, ["anchor", "content"]).filter(when > F.col("least")).select("at", "text_hash", "start", F.lit(1).cast("bigint").alias("strings"))
-    marks = materialize(cold.unionByName(later).groupBy("at", "text_hash").agg(F.collect_set(F.struct("start", "strings")).alias("marks")))
+    cold = runs.filter("kind = 0").select("anchor", "at", "text_hash", "start", "strings", "bytes", "twice").repartition(parts, "anchor").mapInArrow(mark, MARKS)
+    hot = runs.filter("kind = 1").select("anchor", "content", "at", "text_hash", "start").repartition(parts, "anchor", "content").mapInArrow(later_strings, MARKS)
+    marks = materialize(cold.unionByName(hot).unionByName(runs.filter("kind = 2").select("at", "text_hash", "start", "strings")).groupBy("at", "text_hash").agg(F.collect_set(F.struct("start", "strings")).alias("marks")))
     known = (
         slim.join(earliest, "text_hash").select("at", "text_hash", (F.col("at") > F.col("first")).alias("copy"))
         .join(marks, ["at", "text_hash"], "left").withColumnsRenamed({"at": "of_at", "text_hash": "of_hash"})
