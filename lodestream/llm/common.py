@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that vectorised code takes at once; its arrays are some ten times that.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0xD6E8FEB86659FD93
