@@ -107,17 +107,20 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Columns (anchor, content, at, text_hash, start): the earliest of each content, and the rest."""
+    """Columns (anchor, content, at, text_hash, start): the earliest of each content, and the later ones; of equal rows' strings one."""
     table = np.concatenate(strings, axis=1) if strings else np.zeros((5, 0), np.int64)
     order = np.lexsort(table[[4, 3, 2, 1, 0]])
     table = table[:, order]
+    one = np.ones(table.shape[1], bool)
+    one[1:] = (table[:, 1:] != table[:, :-1]).any(axis=0)
+    table = table[:, one]
     first = np.ones(table.shape[1], bool)
     first[1:] = (table[:2, 1:] != table[:2, :-1]).any(axis=0)
     return table[:, first], table[2:, ~first]
 
 
 def later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a partition's strings that are not the earliest of their (anchor, content); a content has one string from each task at most."""
+    """Marks of a partition's strings that are later than the earliest of their (anchor, content); a content has one string from each task at most."""
     names = ("anchor", "content", "at", "text_hash", "start")
     _, (at, ids, start) = compared([np.stack([b.column(c).to_numpy() for c in names]) for b in batches if b.num_rows])
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, ids, start, np.ones(len(at), np.int64))], names=["at", "text_hash", "start", "strings"])
@@ -127,7 +130,7 @@ RUNS = "kind int, anchor long, at long, text_hash long, start long, strings long
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts (at, text_hash, text, wanted) the runs with wanted anchors.
+    """Of texts (at, text_hash, text, wanted) the runs with wanted anchors, of equal rows once a task.
 
     Kind 0: a run with its bytes. Common anchors' strings are compared within the task first; kind 1: the earliest of each
     (anchor, content), kind 2: stretches of others, which are repeats.
@@ -147,8 +150,14 @@ def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out(len(begins), kind=np.full(len(begins), 2), at=at, text_hash=ids, start=start, strings=np.diff(np.append(begins, rest.shape[1])))
 
     hot: list[np.ndarray] = []
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for part in slices(batch):
+            new = []
+            for x in zip(part.column("at").to_pylist(), part.column("text_hash").to_pylist(), strict=True):
+                new.append(x not in seen)
+                seen.add(x)
+            part = part.filter(pa.array(new, pa.bool_()))
             data, offsets = text_bytes(part.column("text"))
             row, start, count, anchor = string_runs(data, offsets)
             ats, ids = part.column("at").to_numpy(), part.column("text_hash").to_numpy()
@@ -293,7 +302,10 @@ MARKS = "at long, text_hash long, start long, strings long"
 
 
 def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a partition's runs. Of equal runs the earliest is compared with the others of its anchor, some anchors at a time."""
+    """Marks of a partition's runs. Of equal runs the earliest is compared with the others of its anchor, some anchors at a time.
+
+    Equal rows, in several tasks, have the same run more than once: it is no repeat of itself.
+    """
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
@@ -304,14 +316,13 @@ def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     document = np.zeros(len(rank), np.int64)
     document[rank] = np.cumsum(np.concatenate([[0], (at[rank][1:] != at[rank][:-1]) | (ids[rank][1:] != ids[rank][:-1])]))
     order = np.lexsort((start, document, anchor))
-    seen: set[tuple[int, bytes]] = set()
-    first = np.zeros(len(order), bool)
+    earliest: dict[tuple[int, bytes], int] = {}
+    first, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
     for i, (j, a) in enumerate(zip(order.tolist(), anchor[order].tolist(), strict=True)):
-        key = (a, content[j])
-        if key not in seen:
-            seen.add(key)
-            first[i] = True
-    whole = order[~first]
+        k = earliest.setdefault((a, content[j]), j)
+        first[i] = k == j
+        later[i] = document[k] != document[j] or start[k] != start[j]
+    whole = order[later]
     batch = lambda rows, begin, strings: pa.RecordBatch.from_arrays([pa.array(x) for x in (at[rows], ids[rows], begin, strings)], names=["at", "text_hash", "start", "strings"])
     yield batch(whole, start[whole], count[whole])
     order = order[first]

@@ -72,6 +72,21 @@ def test_rows_with_one_id(spark, write):
     assert sorted(r[2] for r in got) == sorted([119, 120]) or sum(r[2] for r in got) in range(230, 245)
 
 
+@pytest.mark.parametrize("common", [op8.COMMON, 40])
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_equal_rows_keep_one(spark, monkeypatch, tmp_path, common, tasks):
+    """Equal rows that hold a passage first: one of them stays whole, in one task or in several."""
+    monkeypatch.setattr(op8, "COMMON", common)
+    passage = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(5, passage), (7, "before " + passage + " after"), (5, passage), (None, other), (8, other + " end"), (None, other), (5, passage), (9, passage)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(d, n, gone) for d, n, gone, _, _ in run(spark, str(tmp_path))]
+    p, o = len(passage), len(other)
+    want = [(5, p, 0), (5, p, p), (5, p, p), (7, p + 13, p), (8, o + 4, o), (9, p, p), (None, o, 0), (None, o, o)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_suffix_array_sorts():
     rng = np.random.default_rng(0)
     for _ in range(80):
