@@ -4,8 +4,10 @@ A document's set is its distinct word shingles. Documents with one set are a cla
 A set's sketch has a power of two of 64-bit words; each shingle is XORed into the word that its hash names. A shingle
 that only one of two sets has changes one word, so that the number of words that differ, the sketches' Hamming distance
 over words, is at most the symmetric difference, and that of two linked sets of sizes a <= b is at most
-(a + b) / 9 <= a / 4. Ordered alike, the first a // 4 + 1 words other than zero of both sketches then have one in common:
-these are a class's keys. The order puts words made of frequent shingles last. Sketches are compared within bands of
+(a + b) / 9 <= a / 4. Ordered alike, the first a // 4 + 1 words other than zero of both sketches then have one in common,
+if any word is common: these are a class's keys. None need be where both sketches have no more words other than zero than may
+differ, a // 4. A set with so few has keys of a second kind as well, its first a // 4 + 1 shingles themselves: linked sets have
+one of these in common, since fewer differ than there are. The order puts words made of frequent shingles last. Sketches are compared within bands of
 sizes that differ by less than two; a set within a quarter of the lower end is in the band below too.
 
 Classes that share a key are first tried with the least of them, then, where a key still has classes of several components,
@@ -37,7 +39,7 @@ FREQUENT_KEPT = 1 << 16
 LINK = (100, 80)
 #: Classes of a key that are tried with all others of it before pairs are formed.
 HUBS = 4
-_WORD, _PLACE, _SET, _BIT = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F))
+_WORD, _PLACE, _SET, _BIT, _SHINGLE = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95))
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +142,10 @@ def fresh(name: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
 
 
 def band_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, bands: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for the given rows as members of the given bands: of each the first n // 4 + 1 words in order."""
+    """(row, key) for the given rows as members of the given bands: of each the first n // 4 + 1 words in order.
+
+    Of a set with n // 4 words other than zero or fewer, also the first n // 4 + 1 shingles in order.
+    """
     size = bounds[rows + 1] - bounds[rows]
     entry = np.repeat(np.arange(len(rows)), size)
     starts = np.cumsum(size) - size
@@ -158,17 +163,25 @@ def band_keys(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, bands: np.
     if not len(first):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     word = np.bitwise_xor.reduceat(mix(token ^ _WORD), first)
+    owner = entry
     common = ~np.logical_or.reduceat(rare, first)
     entry, place = entry[first], at[first] - base[entry[first]]
     key = mix(word ^ mix((place.astype(np.uint64) << np.uint64(8)) + bands[entry].astype(np.uint64)))
     entry, key, common = entry[word != 0], key[word != 0], common[word != 0]
-    # By entry, then rare words before common ones, then by key.
+    few = (np.bincount(entry, minlength=len(rows)) <= size // 4)[owner]
+    found = first_keys(entry, key, common, size), first_keys(owner[few], mix(token[few] ^ _SHINGLE), ~rare[few], size)
+    entry, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    return rows[entry], key
+
+
+def first_keys(entry: np.ndarray, key: np.ndarray, common: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry's keys the first size // 4 + 1, as (entry, key): rare ones before common ones, then by key."""
     order = np.argsort((key >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63)))
     order = order[np.argsort(entry[order].astype(np.int32), kind="stable")]
     entry, key = entry[order], key[order]
-    rank = np.arange(len(entry)) - np.searchsorted(entry, np.arange(len(rows)))[entry]
+    rank = np.arange(len(entry)) - np.searchsorted(entry, np.arange(len(size)))[entry]
     keep = rank <= size[entry] // 4
-    return rows[entry[keep]], key[keep]
+    return entry[keep], key[keep]
 
 
 def emit_keys(frequent):

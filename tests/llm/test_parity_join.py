@@ -101,6 +101,39 @@ def test_linked_sets_share_a_key_and_sketches_bound_the_difference():
             assert keys[0] & keys[1]
 
 
+def emitted(texts):
+    """Keys of each class by its name, as the join gets them."""
+    frequent = type("Sent", (), {"value": np.zeros(0, np.uint64)})
+    keys = defaultdict(set)
+    for batch in op3.emit_keys(frequent)(iter([pa.record_batch({"text": pa.array(texts)})])):
+        for key, name in zip(batch.column("key").to_pylist(), batch.column("class").to_pylist(), strict=True):
+            keys[name].add(key)
+    return keys
+
+
+def short_pairs(count):
+    """Texts of 4, 5 and 6 shingles, each with a longer one by a word: linked."""
+    rnd = random.Random(7)
+    for n in (4, 5, 6):
+        for _ in range(count):
+            words = [f"w{rnd.randrange(10**9)}" for _ in range(n + 5)]
+            yield " ".join(words[:-1]), " ".join(words)
+
+
+def test_all_short_linked_sets_share_a_key():
+    pairs = list(short_pairs(8000))
+    texts = [t for p in pairs for t in p]
+    keys = emitted(texts)
+    names = op3.class_of(*op3.shingle_sets(pa.array(texts))).tolist()
+    assert all(keys[a] & keys[b] for a, b in zip(names[::2], names[1::2], strict=True))
+
+
+def test_short_linked_texts_are_one_component(spark, write):
+    rows = [t for p in short_pairs(1500) for t in p]
+    got = {r.doc_id: r.component_id for r in op3.op3_parity_join(spark, write([(i, t, None, None, None) for i, t in enumerate(rows)], DOCS)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (20, 20), (5, 6), (6, 5)] + [(i, i + 1) for i in range(100, 160)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
