@@ -6,7 +6,9 @@ Targets: the sources share `share` times all sizes by weight; none gets more tha
 Curriculum: a source's weight moves linearly from a start to an end multiple over
 training time 0..1. Its integral, scaled to the target, is its cumulative token
 demand; a document that begins at token c of its source's stream is trained at the
-time when that demand reaches c. Documents are range-sorted by it.
+time when that demand reaches c. Documents are range-sorted by it. One that is taken
+more than once has a time for each pass over its source: in pass p it begins at token
+p * source_size + start. The query's position is that of the first pass.
 
 Within a source documents stand in the order of a hash of doc_id. The running size
 is taken in two steps, so that a source with a third of all rows is no single task:
@@ -73,7 +75,7 @@ def position(done: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs (doc_id, source, size, and any others) with source_size, target, taken and position (null: not taken)."""
+    """docs (doc_id, source, size, and any others) with source_size, target, taken, positions (one for each pass that takes of it; null: not taken) and position, the first."""
     keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("key", 1, 3))
     sums = docs.select("source", "size", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3).alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +96,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = SHARE, mos
         .withColumn("taken", passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))))
     )
     at = F.when(F.col("taken") > 0, position(F.col("start") / F.col("target"), F.col("slope")))
-    return running.withColumn("position", at).drop("key", "bucket", "of_source", "of_bucket", "base", "within", "slope", "start")
+    last = F.ceil(F.col("taken") / F.col("size")).cast("bigint") - 1
+    each = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda p: position((p * F.col("source_size") + F.col("start")) / F.col("target"), F.col("slope")))
+    return running.withColumn("position", at).withColumn("positions", F.when(F.col("taken") > 0, each)).drop("key", "bucket", "of_source", "of_bucket", "base", "within", "slope", "start")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

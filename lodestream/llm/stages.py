@@ -60,13 +60,11 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of training, as often as the mix takes them: whole, and where it stops within one, its first words."""
+    """Documents in the order of training, as often as the mix takes them, each time at its own position: whole, and where it stops within one, its first words."""
     sized = materialize(docs.select("doc_id", "source", op5.word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("row_hash")).dropDuplicates(["doc_id", "source", "row_hash"]))
-    taken = op5.mix(sized).filter("taken > 0").select(F.col("row_hash").alias("of_row"), F.col("doc_id").alias("of_doc"), "size", "taken", "position")
+    taken = op5.mix(sized).filter("taken > 0").select(F.col("row_hash").alias("of_row"), F.col("doc_id").alias("of_doc"), "size", "taken", "positions")
     joined = docs.select(*COLUMNS, F.xxhash64("doc_id", "source", "text").alias("row_hash")).join(taken, (F.col("row_hash") == F.col("of_row")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
-    part = F.col("taken") % F.col("size")
-    counts = F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    copies = joined.withColumn("words", F.explode(counts))
+    copies = joined.select("*", F.posexplode("positions").alias("pass", "position")).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

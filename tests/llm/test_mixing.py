@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from lodestream.llm.op5_mixing import SQL, op5_mixing
+from itertools import accumulate
+
+from lodestream.llm import stages
+from lodestream.llm.op5_mixing import RAMPS, SQL, mix, op5_mixing
 from tests.llm.conftest import DOCS
 from tests.llm.test_sharding import same
 
@@ -40,3 +43,28 @@ def test_positions_follow_the_ramp(spark, sf):
     rows = [r for r in op5_mixing(spark, sf).collect() if r.position is not None]
     assert all(0 <= r.position <= 1 for r in rows)
     assert [r.position for r in rows] == sorted(r.position for r in rows)
+
+
+def test_taken_words_follow_the_ramps_in_every_pass(spark, write):
+    """Sources of 200 documents of 20 words, a and c taken about twice: by each time each source has what its ramp asks for."""
+    sizes = {"a": 200, "b": 600, "c": 200}
+    docs = [(i, source) for source, n in sizes.items() for i in range(1000 * ord(source), 1000 * ord(source) + n)]
+    rows = mix(spark.createDataFrame([(i, s, 20) for i, s in docs], "doc_id long, source string, size long")).collect()
+    copies = []
+    for k, source in enumerate("abc"):
+        own = [r for r in rows if r.source == source]
+        a, b = RAMPS[k]
+        slope, target = (a - b) / (a + b), own[0].target
+        taken = sorted((t, min(r.size, r.taken - p * r.size)) for r in own for p, t in enumerate(r.positions or []))
+        assert sum(w for _, w in taken) == sum(r.taken for r in own) == int(target)
+        assert all(r.position == (r.positions or [None])[0] for r in own)
+        for (t, w), done in zip(taken, accumulate(w for _, w in taken), strict=True):
+            assert 0 <= t <= 1 and abs(target * (t + slope * (t - t * t)) - (done - w)) < 1e-3
+        copies += [(t, w, source) for t, w in taken]
+    assert any(len(r.positions or []) > 1 for r in rows)
+    folder = write([(i, "w " * 20, None, s, 0) for i, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = stages.mix_sources(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
+    copies.sort()
+    for end in range(100, len(copies), 100):
+        for source in "abc":
+            assert abs(sum(r.source == source for r in mixed[:end]) - sum(c[2] == source for c in copies[:end])) <= 2
