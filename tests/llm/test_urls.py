@@ -1,5 +1,13 @@
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lodestream.llm import op6_urls as op6
 from lodestream.llm.op6_urls import op6_urls
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -53,3 +61,37 @@ def test_model_learns_what_rules_show(spark, write):
     assert right >= 95
     again = {r.page_id: (r.verdict, r.score) for r in op6_urls(spark, write((rows + new)[::-1], schema, "pages")).collect()}
     assert verdicts == again
+
+
+def expected(labelled, url):
+    """The score from counts of the n-grams themselves; labelled: (url, blocked). A context counts at a url's end too."""
+    counts = Counter(), Counter()
+    each = lambda u: ((tuple(([None] * 4 + list(u))[i + 4 - o : i + 5])) for i in range(len(u)) for o in range(5))
+    for u, blocked in labelled:
+        counts[blocked].update(each(u.encode()))
+        counts[blocked][()] += len(u.encode())
+        counts[blocked].update((None,) * o for o in range(1, 5))
+    total, data = 0.0, url.encode()
+    for i in range(len(data)):
+        for kind, sign in ((0, 1), (1, -1)):
+            p = 1 / 256
+            for o in range(5):
+                g = tuple(([None] * 4 + list(data))[i + 4 - o : i + 5])
+                p = (counts[kind][g] + op6.PRIOR * p) / (counts[kind][g[:-1]] + op6.PRIOR)
+            total += sign * math.log(p)
+    return total / len(data)
+
+
+def test_scores_are_of_exact_counts_of_all_labelled_urls(spark, write):
+    """More n-grams than 2**17, each counted for itself, those of held out urls too."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + x) for x in row) for row in rng.integers(0, 26, (12000, 14))]
+    labelled = [(f"http://a.com/{'de' if i % 2 else 'fr'}/{w}", i % 2) for i, w in enumerate(words)]
+    open_ = [f"http://x.net/{w}" for w in words[:60]] + [f"http://y.net/{w[::-1]}" for w in words[:20]]
+    assert len(np.unique(op6.grams(pa.array([u for u, _ in labelled]))[0][4])) > 1 << 17
+    rows = [(i, u, None) for i, u in enumerate([*(u for u, _ in labelled), *open_])]
+    got = {r.page_id: r for r in op6_urls(spark, write(rows, "page_id long, url string, html string", "pages")).collect()}
+    assert len(got) == len(rows)
+    counted = [(u, b) for u, b in labelled]
+    for i, u in list(enumerate(open_))[::8]:
+        assert got[len(labelled) + i].score == pytest.approx(expected(counted, u), abs=1e-9)
