@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +31,12 @@ def partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 
-    Only where that setting is absent, as in tests, a local temporary folder is set.
+    Only in local mode, where that setting may be absent, a local temporary folder is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp()}"
         spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/lodestream-{uuid.uuid4().hex}"
@@ -41,6 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows, written to the shared folder and read again: cuts lineage and survives lost executors.
 
@@ -51,12 +58,21 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     folder = shared_folder(spark)
     df.write.option("compression", codec).parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
     del df
     gc.collect()
     spark._jvm.System.gc()
     return out
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of materialized frames of which all that was made is written by now."""
+    for df in frames:
+        if folder := _FOLDERS.pop(df, None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column one after another, and offsets of its rows; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -4,11 +4,13 @@ A string's anchor is the least hash of the `GRAM`-byte grams in it. Equal string
 falls into runs of neighbouring strings with one anchor, and only runs that share an anchor need be compared. Anchors are
 counted first; a run whose anchor is the only one of its kind goes no further.
 
-Runs with a shared anchor meet in one partition, where a suffix array of their bytes is built in two stages: suffixes
-smaller than their successors are sorted directly, the others are induced by scanning the buckets of first bytes in order.
-Neighbours in it whose common prefix is `LENGTH` long are equal strings; all but the earliest are marked. An anchor with
-over `COMMON` strings is too much for that: its strings are compared by (anchor, 64-bit hash), within each task first, so
-that only the earliest of a task go further: of each content one from each task, to one partition. No passage, however frequent, is one task's work.
+Runs with a shared anchor meet in one partition, sorted by anchor, and are taken some anchors at a time: a suffix array of
+their bytes is built in two stages, in which suffixes smaller than their successors are sorted directly and the others are
+induced by scanning the buckets of first bytes in order. Neighbours in it whose common prefix is `LENGTH` long are equal
+strings; all but the earliest are marked. Runs of an anchor that has over `COMMON` bytes of them are dealt by anchor and content instead,
+so that equal runs, however many, are one row from each task; the block of a suffix array is then a part of an anchor's runs, and
+the strings that it leaves are dealt once more, each by its own hash, and compared likewise. That only splits the work:
+in either way it is the bytes in a suffix array that tell strings equal. No passage, however frequent, is one task's work.
 
 Texts equal to an earlier one are told by a 64-bit hash and need none of this: they go whole if they have `LENGTH` bytes.
 Earlier means: smaller doc_id, null first; of rows with one doc_id smaller hash of the text; of equal rows one is the
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.llm.common import BASE, BYTE_WORDS, INVERSE, cached_powers, documents, materialize, mix, partitions, slices, text_bytes
+from lodestream.llm.common import BASE, BYTE_WORDS, INVERSE, cached_powers, documents, materialize, mix, partitions, powers, release, slices, text_bytes
 
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
-COMMON = 1 << 14
-#: Bytes of runs that one suffix array takes.
+#: Bytes of runs that one suffix array takes; an anchor's runs may be more, if they are not common.
 BLOCK = 1 << 20
+#: Bytes of runs beyond which an anchor is common.
+COMMON = BLOCK
 LEAST = -(1 << 63)
 
 
@@ -86,7 +90,7 @@ def anchor_places(data: np.ndarray, start: np.ndarray, count: np.ndarray, anchor
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, text_hash, places, strings) of each text once a task."""
+    """(anchor, text_hash, places, bytes) of each text once a task; bytes: of the anchor's runs."""
     seen: set[int] = set()
     for batch in batches:
         for part in slices(batch):
@@ -102,62 +106,68 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((anchor, row))
             row, start, count, anchor = row[order], start[order], count[order], anchor[order]
             first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])])) if len(row) else np.zeros(0, np.int64)
-            places, strings = (np.add.reduceat(x, first) if len(first) else x for x in (anchor_places(data, start, count, anchor), count))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[row[first]]), pa.array(places), pa.array(strings)], names=["anchor", "text_hash", "places", "strings"])
+            places, size = (np.add.reduceat(x, first) if len(first) else x for x in (anchor_places(data, start, count, anchor), count + LENGTH - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[row[first]]), pa.array(places), pa.array(size)], names=["anchor", "text_hash", "places", "bytes"])
 
 
-def compared(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Columns (anchor, content, at, text_hash, start): the earliest of each content, and the later ones; of equal rows' strings one."""
-    table = np.concatenate(strings, axis=1) if strings else np.zeros((5, 0), np.int64)
-    order = np.lexsort(table[[4, 3, 2, 1, 0]])
-    table = table[:, order]
-    one = np.ones(table.shape[1], bool)
-    one[1:] = (table[:, 1:] != table[:, :-1]).any(axis=0)
-    table = table[:, one]
-    first = np.ones(table.shape[1], bool)
-    first[1:] = (table[:2, 1:] != table[:2, :-1]).any(axis=0)
-    return table[:, first], table[2:, ~first]
+RUNS = "kind int, anchor long, at long, text_hash long, start long, strings long, bytes binary, content long, twice boolean"
+_RUN_FIELDS = [x.split() for x in RUNS.split(", ")]
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
-def later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a partition's strings that are later than the earliest of their (anchor, content); a content has one string from each task at most."""
-    names = ("anchor", "content", "at", "text_hash", "start")
-    _, (at, ids, start) = compared([np.stack([b.column(c).to_numpy() for c in names]) for b in batches if b.num_rows])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, ids, start, np.ones(len(at), np.int64))], names=["at", "text_hash", "start", "strings"])
+def run_rows(n: int, kind: int, **columns) -> pa.RecordBatch:
+    """Rows of RUNS; columns that aren't given are null."""
+    columns["kind"] = np.full(n, kind, np.int32)
+    return pa.RecordBatch.from_arrays(
+        [(c if isinstance(c := columns[k], pa.Array) else pa.array(c, _TYPES[t])) if k in columns else pa.nulls(n, _TYPES[t]) for k, t in _RUN_FIELDS], names=[k for k, _ in _RUN_FIELDS]
+    )
 
 
-RUNS = "kind int, anchor long, at long, text_hash long, start long, strings long, bytes binary, content long, twice boolean"
+def piece_hashes(pieces: list[bytes]) -> np.ndarray:
+    """A hash of each piece's bytes, which only deals them out."""
+    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in pieces], np.int64)
+
+
+class CommonRuns:
+    """Runs with common anchors of a task: of equal ones the earliest is kept, the others are repeats. Full, it is emptied."""
+
+    def __init__(self, most: int):
+        self.kept: dict[tuple[int, bytes], tuple] = {}
+        self.later: list[tuple] = []
+        self.size, self.most = 0, most
+
+    def add(self, key: tuple[int, bytes], run: tuple) -> None:
+        """run: (at, text_hash, start, strings, twice)."""
+        known = self.kept.get(key)
+        if known is None:
+            self.kept[key] = run
+            self.size += len(key[1]) + 200
+        elif known[:3] != run[:3]:
+            self.kept[key], later = (run, known) if run[:3] < known[:3] else (known, run)
+            self.later.append(later)
+
+    def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """Kind 1: the runs kept, with bytes; kind 2: the repeats."""
+        if self.later and (last or len(self.later) > 1 << 14):
+            at, ids, start, strings, _ = map(list, zip(*self.later, strict=True))
+            yield run_rows(len(at), 2, at=at, text_hash=ids, start=start, strings=strings)
+            self.later.clear()
+        if self.kept and (last or self.size > self.most):
+            pieces = [p for _, p in self.kept]
+            at, ids, start, strings, twice = map(list, zip(*self.kept.values(), strict=True))
+            yield run_rows(len(at), 1, anchor=[a for a, _ in self.kept], at=at, text_hash=ids, start=start, strings=strings, bytes=pieces, content=piece_hashes(pieces), twice=twice)
+            self.kept.clear()
+            self.size = 0
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts (at, text_hash, text, wanted) the runs with wanted anchors, of equal rows once a task.
+    """Of texts (at, text_hash, text, wanted) the runs with wanted anchors, with their bytes.
 
-    Kind 0: a run with its bytes. Common anchors' strings are compared within the task first; kind 1: the earliest of each
-    (anchor, content), kind 2: stretches of others, which are repeats.
+    Kind 0: with an anchor of few strings. Kind 1: with a common anchor, of equal runs of the task the earliest; kind 2: the others.
     """
-    fields = [x.split() for x in RUNS.split(", ")]
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-
-    def out(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[k], types[t]) if k in columns else pa.nulls(n, types[t]) for k, t in fields], names=[k for k, _ in fields])
-
-    def stretches(rest: np.ndarray) -> pa.RecordBatch:
-        rest = rest[:, np.lexsort(rest[::-1])]
-        first = np.ones(rest.shape[1], bool)
-        first[1:] = (rest[:2, 1:] != rest[:2, :-1]).any(axis=0) | (rest[2, 1:] != rest[2, :-1] + 1)
-        begins = np.flatnonzero(first)
-        at, ids, start = rest[:, begins]
-        return out(len(begins), kind=np.full(len(begins), 2), at=at, text_hash=ids, start=start, strings=np.diff(np.append(begins, rest.shape[1])))
-
-    hot: list[np.ndarray] = []
-    seen: set[tuple[int, int]] = set()
+    held = CommonRuns(8 * BLOCK)
     for batch in batches:
         for part in slices(batch):
-            new = []
-            for x in zip(part.column("at").to_pylist(), part.column("text_hash").to_pylist(), strict=True):
-                new.append(x not in seen)
-                seen.add(x)
-            part = part.filter(pa.array(new, pa.bool_()))
             data, offsets = text_bytes(part.column("text"))
             row, start, count, anchor = string_runs(data, offsets)
             ats, ids = part.column("at").to_numpy(), part.column("text_hash").to_numpy()
@@ -166,25 +176,17 @@ def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
             table = dict(zip(zip(owner.tolist(), flat.field("anchor").to_pylist(), strict=True), flat.field("common").to_pylist(), strict=True))
             kind = np.array([table.get(k, -1) for k in zip(row.tolist(), anchor.view(np.int64).tolist(), strict=True)], np.int8)
-            cold, common = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            yield out(
-                len(cold), kind=np.zeros(len(cold), np.int32), anchor=anchor[cold].view(np.int64), at=ats[row[cold]], text_hash=ids[row[cold]], start=start[cold] - offsets[row[cold]], strings=count[cold],
-                bytes=[data[s : s + c + LENGTH - 1].tobytes() for s, c in zip(start[cold].tolist(), count[cold].tolist(), strict=True)],
-                twice=anchor_places(data, start[cold], count[cold], anchor[cold]) > 1,
-            )
-            if len(common):
-                each = np.repeat(common, count[common])
-                place = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count[common]) - count[common], count[common])
-                hot.append(np.stack([anchor[each].view(np.int64), byte_hashes(data, LENGTH)[place].view(np.int64), ats[row[each]], ids[row[each]], place - offsets[row[each]]]))
-            if sum(x.shape[1] for x in hot[1:]) > 1 << 19:
-                kept_, rest = compared(hot)
-                hot = [kept_]
-                yield stretches(rest)
-    kept_, rest = compared(hot)
-    yield stretches(rest)
-    for i in range(0, kept_.shape[1], 1 << 16):
-        a, c, at, ids, start = kept_[:, i : i + (1 << 16)]
-        yield out(len(a), kind=np.ones(len(a), np.int32), anchor=a, content=c, at=at, text_hash=ids, start=start, strings=np.ones(len(a), np.int64))
+            chosen = np.flatnonzero(kind >= 0)
+            chosen, common = chosen[kind[chosen] == 0], chosen[kind[chosen] == 1]
+            pieces = lambda rows: [data[s : s + c + LENGTH - 1].tobytes() for s, c in zip(start[rows].tolist(), count[rows].tolist(), strict=True)]  # noqa: E731, B023
+            twice = lambda rows: anchor_places(data, start[rows], count[rows], anchor[rows]) > 1  # noqa: E731, B023
+            places = lambda rows: (ats[row[rows]], ids[row[rows]], start[rows] - offsets[row[rows]], count[rows])  # noqa: E731, B023
+            at, text_hash, begin, strings = places(chosen)
+            yield run_rows(len(chosen), 0, anchor=anchor[chosen].view(np.int64), at=at, text_hash=text_hash, start=begin, strings=strings, bytes=pieces(chosen), twice=twice(chosen))
+            for a, piece, *run in zip(anchor[common].view(np.int64).tolist(), pieces(common), *(x.tolist() for x in (*places(common), twice(common))), strict=True):
+                held.add((a, piece), tuple(run))
+            yield from held.rows(False)
+    yield from held.rows(True)
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -272,8 +274,11 @@ def common_prefix(text: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np
     return np.concatenate([[False], same]) if len(order) else same
 
 
-def mark_block(pieces: list[bytes], count: np.ndarray, document: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, strings) of stretches of strings that are later than an equal one. document: ranks, earlier ones smaller."""
+def mark_block(pieces: list[bytes], count: np.ndarray, document: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first start, strings) of stretches of strings that are later than an equal one; (row, start, bytes) of all other strings.
+
+    document: ranks, earlier ones smaller.
+    """
     text = np.frombuffer(b"".join(pieces), np.uint8)
     size = count + LENGTH - 1
     base = np.cumsum(size) - size
@@ -288,28 +293,49 @@ def mark_block(pieces: list[bytes], count: np.ndarray, document: np.ndarray, sta
     later = order[when > np.minimum.reduceat(when, first)[group]]
     marked = np.zeros(len(text) + 1, bool)
     marked[later] = True
+    least = np.flatnonzero(valid & ~marked[:-1])
     at = np.flatnonzero(marked)
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 3
     # A stretch ends with its run: the bytes after the last string of a run are no starts.
-    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1])) if len(at) else at
     lengths = np.diff(np.append(begins, len(at)))
     at = at[begins]
-    return row[at], start[row[at]] + inner[at], lengths
+    return row[at], start[row[at]] + inner[at], lengths, row[least], start[row[least]] + inner[least], np.lib.stride_tricks.sliding_window_view(text, LENGTH)[least]
 
 
 MARKS = "at long, text_hash long, start long, strings long"
 
 
-def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a partition's runs. Of equal runs the earliest is compared with the others of its anchor, some anchors at a time.
-
-    Equal rows, in several tasks, have the same run more than once: it is no repeat of itself.
+def sorted_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by the keys in tables of about `most` bytes, or a key's rows where these are more: no key is in two tables."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held)
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            values = table[k].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        if new.any():
+            cut_at = int(np.flatnonzero(new)[-1])
+            yield table.slice(0, cut_at).combine_chunks()
+            rest = table.slice(cut_at).combine_chunks()
+            held, size = rest.to_batches(), rest.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def marked(table: pa.Table, alone: bool) -> Iterator[tuple[str, tuple]]:
+    """Marks of a table of runs, sorted by anchor: ("later", columns of MARKS), and ("least", (run, start, bytes)) of the strings that aren't marked.
+
+    Of equal runs the earliest is compared with the others of its anchor, some anchors at a time. Equal rows, in several tasks, have
+    the same run more than once: it is no repeat of itself. Runs whose anchor has no other are compared with nothing, unless `alone`.
     """
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
     anchor, count, at, ids, start = (table[c].to_numpy() for c in ("anchor", "strings", "at", "text_hash", "start"))
     twice, content = table["twice"].to_numpy(), table["bytes"].to_pylist()
     rank = np.lexsort((ids, at))
@@ -323,23 +349,53 @@ def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[i] = k == j
         later[i] = document[k] != document[j] or start[k] != start[j]
     whole = order[later]
-    batch = lambda rows, begin, strings: pa.RecordBatch.from_arrays([pa.array(x) for x in (at[rows], ids[rows], begin, strings)], names=["at", "text_hash", "start", "strings"])
-    yield batch(whole, start[whole], count[whole])
+    yield "later", (at[whole], ids[whole], start[whole], count[whole])
     order = order[first]
-    _, group, size = np.unique(anchor[order], return_inverse=True, return_counts=True)
-    order = order[(size[group] > 1) | twice[order]]
+    if not alone:
+        _, group, size = np.unique(anchor[order], return_inverse=True, return_counts=True)
+        order = order[(size[group] > 1) | twice[order]]
     total = np.cumsum(count[order] + LENGTH - 1)
     ends = np.flatnonzero(np.concatenate([anchor[order][1:] != anchor[order][:-1], [True]])) + 1 if len(order) else order
+    if alone:
+        ends = np.arange(1, len(order) + 1)
     begin = 0
     while begin < len(order):
         fits = ends[(ends > begin) & (total[ends - 1] <= (total[begin - 1] if begin else 0) + BLOCK)]
         end = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, begin, "right")])
         rows = order[begin:end]
-        row, place, strings = mark_block([content[j] for j in rows.tolist()], count[rows], document[rows], start[rows])
-        yield batch(rows[row], place, strings)
+        row, place, strings, least, least_at, least_bytes = mark_block([content[j] for j in rows.tolist()], count[rows], document[rows], start[rows])
+        yield "later", (at[rows[row]], ids[rows[row]], place, strings)
+        yield "least", (at[rows[least]], ids[rows[least]], least_at, least_bytes)
         begin = end
 
 
+def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of a partition's runs (or strings: runs of one), sorted by anchor."""
+    for table in sorted_blocks(batches, ["anchor"], BLOCK):
+        for what, columns in marked(table, False):
+            if what == "later":
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["at", "text_hash", "start", "strings"])
+
+
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with common anchors, dealt and sorted by anchor and content: repeats in a block (kind 2), and the other strings one by one (kind 1).
+
+    A string's anchor, from here on, is its own hash: however common, it is one row from each block at most.
+    """
+    for table in sorted_blocks(batches, ["anchor", "content"], BLOCK):
+        for what, (at, ids, start, rest) in marked(table, True):
+            if what == "later":
+                yield run_rows(len(at), 2, at=at, text_hash=ids, start=start, strings=rest)
+                continue
+            for i in range(0, len(at), 1 << 14):
+                rows = slice(i, i + (1 << 14))
+                flat = np.ascontiguousarray(rest[rows])
+                n = len(flat)
+                pieces = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * LENGTH).astype(np.int32)), pa.py_buffer(flat)])
+                key = flat.astype(np.uint64) @ powers(BASE, LENGTH) if n else np.zeros(0, np.uint64)
+                yield run_rows(n, 1, anchor=mix(key).view(np.int64), at=at[rows], text_hash=ids[rows], start=start[rows], strings=np.ones(n, np.int64), bytes=pieces, twice=np.zeros(n, bool))
+
+
 def cut(data: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int]:
     """What is left without strings that start in the marked stretches (start, strings), and how many stretches of bytes went."""
     kept, spans, at = [], 0, 0
@@ -361,19 +417,26 @@ def repeats(docs: DataFrame) -> DataFrame:
     hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("at", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)))
     slim = hashed.groupBy("at", "text_hash").agg(F.count("*").alias("rows"))
     slim = materialize(slim)
-    earliest = slim.groupBy("text_hash").agg(F.min("at").alias("first"))
-    found = hashed.filter(F.octet_length("text") >= LENGTH).select("text", "text_hash").mapInArrow(anchors, "anchor long, text_hash long, places long, strings long")
+    # Written, so that the join of a text with many copies can be split.
+    earliest = materialize(slim.groupBy("text_hash").agg(F.min("at").alias("first")))
+    found = materialize(hashed.filter(F.octet_length("text") >= LENGTH).select("text", "text_hash").mapInArrow(anchors, "anchor long, text_hash long, places long, bytes long"), "lz4")
     shared = (
-        found.groupBy("anchor").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.max("places").alias("places"), F.sum("strings").alias("strings"))
-        .filter("lo <> hi or places > 1").select("anchor", (F.col("strings") > COMMON).alias("common"))
+        found.groupBy("anchor").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.max("places").alias("places"), F.sum("bytes").alias("bytes"))
+        .filter("lo <> hi or places > 1").select("anchor", (F.col("bytes") > COMMON).alias("common"))
     )
     wanted = materialize(found.select("anchor", "text_hash").join(shared, "anchor").groupBy("text_hash").agg(F.collect_set(F.struct("anchor", "common")).alias("wanted")))
+    release(found)
     originals = wanted.join(earliest, "text_hash").withColumnsRenamed({"text_hash": "of_hash", "first": "of_at"})
     texts = hashed.join(originals, (F.col("at") == F.col("of_at")) & (F.col("text_hash") == F.col("of_hash"))).select("at", "text_hash", "text", "wanted")
     runs = materialize(texts.mapInArrow(shared_runs, RUNS))
-    cold = runs.filter("kind = 0").select("anchor", "at", "text_hash", "start", "strings", "bytes", "twice").repartition(parts, "anchor").mapInArrow(mark, MARKS)
-    hot = runs.filter("kind = 1").select("anchor", "content", "at", "text_hash", "start").repartition(parts, "anchor", "content").mapInArrow(later_strings, MARKS)
-    marks = materialize(cold.unionByName(hot).unionByName(runs.filter("kind = 2").select("at", "text_hash", "start", "strings")).groupBy("at", "text_hash").agg(F.collect_set(F.struct("start", "strings")).alias("marks")))
+    columns = ["anchor", "at", "text_hash", "start", "strings", "bytes", "twice"]
+    few = runs.filter("kind = 0").select(columns).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    common = runs.filter("kind = 1").select(*columns, "content").repartition(parts, "anchor", "content").sortWithinPartitions("anchor", "content")
+    strings = materialize(common.mapInArrow(spread, RUNS))
+    single = strings.filter("kind = 1").select(columns).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    repeated = reduce(DataFrame.unionByName, [few.mapInArrow(mark, MARKS), single.mapInArrow(mark, MARKS), *(x.filter("kind = 2").select("at", "text_hash", "start", "strings") for x in (runs, strings))])
+    marks = materialize(repeated.groupBy("at", "text_hash").agg(F.collect_set(F.struct("start", "strings")).alias("marks")))
+    release(runs, strings, wanted)
     known = (
         slim.join(earliest, "text_hash").select("at", "text_hash", (F.col("at") > F.col("first")).alias("copy"))
         .join(marks, ["at", "text_hash"], "left").withColumnsRenamed({"at": "of_at", "text_hash": "of_hash"})

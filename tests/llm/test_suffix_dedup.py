@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestream.llm import op8_suffix_dedup as op8
@@ -95,3 +96,35 @@ def test_suffix_array_sorts():
         assert sorted(order.tolist()) == list(range(len(text)))
         heads = [data[i : i + 50] for i in order]
         assert heads == sorted(heads)
+
+
+def test_a_common_passage_is_few_rows():
+    """A passage of 3 KB in 200 documents, each in a task of its own: rows by run, and strings only about its ends."""
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(3000)
+    wanted = pa.list_(pa.struct([("anchor", pa.int64()), ("common", pa.bool_())]))
+    rows, documents = [], [text(300) + passage + text(300) for _ in range(200)]
+    for i, doc in enumerate(documents):
+        column = pa.array([doc])
+        _, _, _, anchor = op8.string_runs(*op8.text_bytes(column))
+        batch = pa.record_batch({"at": pa.array([i]), "text_hash": pa.array([i]), "text": column, "wanted": pa.array([[{"anchor": a, "common": True} for a in set(anchor.view(np.int64).tolist())]], wanted)})
+        rows += [r for b in op8.shared_runs(iter([batch])) for r in b.to_pylist()]
+    runs = len(rows)
+    dealt = {}
+    for r in sorted(rows, key=lambda r: (r["anchor"], r["content"])):
+        dealt.setdefault((r["anchor"] ^ r["content"]) % 20, []).append(r)
+    schema = pa.schema([(k, op8._TYPES[t]) for k, t in op8._RUN_FIELDS])
+    batches = lambda part: iter([pa.RecordBatch.from_pylist(part, schema=schema)])
+    out = [r for part in dealt.values() for b in op8.spread(batches(part)) for r in b.to_pylist()]
+    strings = sorted((r for r in out if r["kind"] == 1), key=lambda r: r["anchor"])
+    marks = [r for r in out if r["kind"] == 2] + [r for b in op8.mark(batches(strings)) for r in b.to_pylist()]
+    assert runs < 40_000 and len([r for r in out if r["kind"] == 2]) < 40_000
+    # Strings that cross the ends are unique, and up to 69 of each end within the passage are one from each of the 20 parts.
+    assert len(marks) - len([r for r in out if r["kind"] == 2]) < 20 * 2 * 70
+    removed = 0
+    for i, doc in enumerate(documents):
+        left, _ = op8.cut(doc.encode(), [(r["start"], r["strings"]) for r in marks if r["at"] == i])
+        removed += len(doc) - len(left)
+        assert i == 0 or len(doc) - len(left) >= 3000
+    assert 199 * 3000 <= removed < 199 * 3010
