@@ -1,18 +1,19 @@
 """WARC in seekable Zstandard bundles: independent frames of records, a seek table at the end, an index by record.
 
-A bundle is a file of Zstandard frames. Each holds whole records up to `FRAME` bytes; the last is a
-skippable frame, the seek table of the Zstandard seekable format, with the sizes of all others. The index
-maps a record to its bundle, frame and place within the frame's content, so that reading one record
-decodes one frame.
+A bundle is a file of Zstandard frames. Each holds whole records up to `FRAME` bytes, or one longer record. Behind them come two
+skippable frames: the bundle's index, which maps a record identifier to its frame and place within the frame's content, and the
+seek table of the Zstandard seekable format, with the sizes of all other frames. Reading one record decodes one frame, found
+by the table at the file's end.
 
-Bundles are built by partitions as rows (bundle, frame_no, frame) and written by Spark's Parquet writer,
-which commits a task's output once, whatever file system the shared folder is in; a bundle's frames in
-order are the file's bytes (`bundle_bytes`).
+Files are written by Spark's text writer, a bundle each, whatever file system the shared folder is in: it writes a row's bytes as they
+are, and then the line separator, here the number that ends a seek table. Its commit puts whole files in place, once for each task, so
+that a file's path is the bundle's name. They are read as binary files; the index of all bundles is made from their index frames.
 
 Of records with equal payloads of at least `least` bytes, that with the largest id is a response and holds
 the payload; others revisit it. A null payload is empty. Rows with one id and equal payloads are alike: all
 responses where the id is the largest, each with a record of its own; with unequal ones they are separate.
-A null id is smaller than any, and a group of null ids only is all responses.
+A null id is smaller than any, and a group of null ids only is all responses. An empty table makes no record. A payload is held
+whole, in a frame of its own if it is long: up to the 2 GB that a row may have. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +28,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import documents, materialize, partitions
+from lodestream.llm.common import documents, materialize, shared_folder
 
 FRAME = 1 << 18
-BUNDLE = 1 << 26
+#: Bytes of records after which a bundle ends.
+BUNDLE = 1 << 25
 LEVEL = 3
-#: Fixed values of the Zstandard seekable format.
+#: Fixed values of the Zstandard formats: two skippable frames' magic numbers, and the number that ends a seek table.
 SKIPPABLE = 0x184D2A5E
+INDEX = 0x184D2A50
 SEEKABLE = 0x8F92EAB1
-
-FRAMES = "bundle string, frame_no int, raw_size long, frame binary, record_ids array<long>, offsets array<long>, sizes array<long>"
+#: An entry of a bundle's index: whether the record has an id, the id, frame, offset, size.
+_ENTRY = struct.Struct("<?qIQQ")
+ENTRIES = "page_id long, bundle string, frame_no int, offset long, size long"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, size: int) -> bytes:
@@ -89,63 +93,96 @@ def read_seek_table(data: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def write_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frames of the partition's records, and a seek table after each bundle's last."""
-    pack = zstandard.ZstdCompressor(level=LEVEL)
-    buffer, ids, offsets, sizes, done, bundle, raw_total = bytearray(), [], [], [], [], None, 0
-    schema = pa.schema([("bundle", pa.string()), ("frame_no", pa.int32()), ("raw_size", pa.int64()), ("frame", pa.binary()), ("record_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-    row = lambda *v: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(v, schema.types, strict=True)], schema=schema)
-
-    def frame() -> pa.RecordBatch:
-        data = pack.compress(bytes(buffer))
-        out = row(bundle, len(done), len(buffer), data, list(ids), list(offsets), list(sizes))
-        done.append((len(data), len(buffer)))
-        for x in (buffer, ids, offsets, sizes):
-            x.clear()
-        return out
-
-    def table() -> pa.RecordBatch:
-        return row(bundle, len(done), 0, seek_table(done), [], [], [])
-
+def index_frame(entries: list[tuple[int | None, int, int, int]]) -> bytes:
+    """The skippable frame of a bundle's index, from (record id, frame, offset, size)."""
+    body = b"".join(_ENTRY.pack(page_id is not None, page_id or 0, *place) for page_id, *place in entries)
+    return struct.pack("<II", INDEX, len(body)) + body
+
+
+def write_bundles(frame_size: int = FRAME, bundle_size: int = BUNDLE):
+    """Bundles of a partition's records, without the four bytes that end each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        buffer, done, entries, sizes, raw_total = bytearray(), [], [], [], 0
+
+        def frame() -> None:
+            nonlocal raw_total
+            done.append(pack.compress(bytes(buffer)))
+            sizes.append((len(done[-1]), len(buffer)))
+            raw_total += len(buffer)
+            buffer.clear()
+
+        def bundle() -> pa.RecordBatch:
+            nonlocal raw_total
+            done.append(index_frame(entries))
+            sizes.append((len(done[-1]), 0))
+            content = b"".join([*done, seek_table(sizes)[:-4]])
+            for x in (done, entries, sizes):
+                x.clear()
+            raw_total = 0
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
+
+        for batch in batches:
+            for page_id, url, html, digest, kind, refers_to, size in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "record_type", "refers_to", "payload_bytes")), strict=True):
+                data = record(page_id, url, b"" if kind == "revisit" else (html or "").encode(), digest, kind, refers_to, size)
+                if buffer and len(buffer) + len(data) > frame_size:
+                    frame()
+                    if raw_total >= bundle_size:
+                        yield bundle()
+                entries.append((page_id, len(done), len(buffer), len(data)))
+                buffer += data
+        if buffer:
+            frame()
+        if done:
+            yield bundle()
+
+    return run
+
+
+def read_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of bundles' index frames; decodes nothing."""
     for batch in batches:
-        for page_id, url, html, digest, kind, refers_to, size in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "record_type", "refers_to", "payload_bytes")), strict=True):
-            data = record(page_id, url, b"" if kind == "revisit" else (html or "").encode(), digest, kind, refers_to, size)
-            if buffer and len(buffer) + len(data) > FRAME:
-                raw_total += len(buffer)
-                yield frame()
-                if raw_total >= BUNDLE:
-                    yield table()
-                    done, bundle, raw_total = [], None, 0
-            # Named by its first record: a task that is run again makes the same bundles.
-            bundle = bundle or hashlib.sha1(f"{page_id}:{digest}".encode()).hexdigest()
-            ids.append(page_id)
-            offsets.append(len(buffer))
-            sizes.append(len(data))
-            buffer += data
-    if buffer:
-        yield frame()
-    if done:
-        yield table()
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            data = content.as_buffer().to_pybytes()
+            if not data:  # of a table without rows
+                continue
+            at, size, _, _ = read_seek_table(data)[-1]
+            magic, length = struct.unpack("<II", data[at : at + 8])
+            if magic != INDEX or length + 8 != size:
+                raise ValueError("no index where the seek table says")
+            found = list(_ENTRY.iter_unpack(data[at + 8 : at + size]))
+            columns = ([i if has else None for has, i, *_ in found], [path.as_py()] * len(found), *([e[k] for e in found] for k in (2, 3, 4)))
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
 
 def read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each record's id, type and what it refers to, with the payload's size and digest: of responses as found in the payload."""
-    unpack = zstandard.ZstdDecompressor()
+    """Of bundles (content, wanted: their entries) each record's id, type and what it refers to, with the payload's size and digest: of responses as found in the payload."""
     for batch in batches:
-        out: list[tuple] = []
-        for frame, raw_size, offsets, sizes in zip(*(batch.column(c).to_pylist() for c in ("frame", "raw_size", "offsets", "sizes")), strict=True):
-            content = unpack.decompress(frame, max_output_size=raw_size) if raw_size else b""
-            for at, size in zip(offsets, sizes, strict=True):
-                headers, payload = parse(content[at : at + size])
+        for content, wanted in zip(batch.column("content"), batch.column("wanted").to_pylist(), strict=True):
+            out: list[tuple] = []
+            for headers, payload in records(content.as_buffer().to_pybytes(), [(e["frame_no"], e["offset"], e["size"]) for e in wanted]):
                 name = headers["warc-record-id"][10:-1]
                 page_id = int(name) if name else None
                 if headers["warc-type"] == "response":
                     out.append((page_id, len(payload), base32_sha1(payload), "response", None))
                 else:
                     out.append((page_id, int(headers["x-payload-length"]), headers["warc-payload-digest"][5:], "revisit", int(headers["warc-refers-to"][10:-1])))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+def records(data: bytes, places: list[tuple[int, int, int]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records at (frame, offset, size) of a bundle's file, by its seek table: only their frames are decoded, each once."""
+    unpack, frames = zstandard.ZstdDecompressor(), read_seek_table(data)
+    last, content = -1, b""
+    for frame_no, offset, size in sorted(places):
+        if frame_no != last:
+            at, length, _, raw = frames[frame_no]
+            last, content = frame_no, unpack.decompress(data[at : at + length], max_output_size=raw)
+        yield parse(content[offset : offset + size])
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -167,9 +204,8 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     )
 
 
-def archive(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes pages (page_id, url, html) as bundles to the shared folder; their frames, read from there."""
-    spark = pages.sparkSession
+def archive(pages: DataFrame, folder: str, least: int = 0, frame_size: int = FRAME, bundle_size: int = BUNDLE) -> None:
+    """Writes pages (page_id, url, html) as bundles to a new folder."""
     body = F.coalesce("html", F.lit(""))
     known = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).cast("bigint").alias("payload_bytes"))
     role = roles(known.select("page_id", "sha1", "payload_bytes"), least).withColumnsRenamed({"page_id": "of_page", "sha1": "of_sha1"}).drop("payload_bytes")
@@ -178,39 +214,43 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
         F.when(F.col("record_type") == "response", F.col("html")).alias("html"),
         base32(F.col("sha1")).alias("digest"), "record_type", "refers_to", "payload_bytes",
     )
-    return materialize(placed.mapInArrow(write_bundles, FRAMES), "uncompressed")
+    bundles = placed.mapInArrow(write_bundles(frame_size, bundle_size), "content binary").select(F.col("content").cast("string"))
+    # In ISO 8859-1 a character is a byte.
+    end = struct.pack("<I", SEEKABLE).decode("latin-1")
+    bundles.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none").text(folder)
 
 
-def base32(hexadecimal):
-    """Base32 of 160 bits given as hexadecimal: each five digits are four letters."""
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    group = lambda i: F.conv(F.substring(hexadecimal, 5 * i + 1, 5), 16, 10).cast("int")
-    letter = lambda v, shift: F.substring(F.lit(letters), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
-    return F.concat(*(letter(group(i), shift) for i in range(8) for shift in (15, 10, 5, 0)))
+def bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of a folder's bundles."""
+    return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
-def index(frames: DataFrame) -> DataFrame:
-    """(page_id, bundle, frame_no, offset, size) of each record; reads no content."""
-    each = F.explode(F.arrays_zip("record_ids", "offsets", "sizes"))
-    return frames.select("bundle", "frame_no", each.alias("r")).select(F.col("r.record_ids").alias("page_id"), "bundle", "frame_no", F.col("r.offsets").alias("offset"), F.col("r.sizes").alias("size"))
+def index(files: DataFrame) -> DataFrame:
+    """(page_id, bundle, frame_no, offset, size) of each record of bundles."""
+    return files.mapInArrow(read_index, ENTRIES)
 
 
-def bundle_bytes(frames: DataFrame, bundle: str) -> bytes:
-    """The bytes of one bundle's file."""
-    return b"".join(bytes(r.frame) for r in frames.filter(F.col("bundle") == bundle).orderBy("frame_no").select("frame").collect())
+def fetch(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """The records of some entries of the index: what read_records returns. A bundle's entries meet its file."""
+    wanted = entries.groupBy("bundle").agg(F.collect_list(F.struct("frame_no", "offset", "size")).alias("wanted"))
+    return files.join(wanted, F.col("path") == F.col("bundle")).select("content", "wanted").mapInArrow(
+        read_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    )
 
 
-def read_record(data: bytes, frame_no: int, offset: int, size: int) -> tuple[dict[str, str], bytes]:
-    """One record of a bundle's file, by the index: decodes one frame."""
-    at, length, _, raw = read_seek_table(data)[frame_no]
-    return parse(zstandard.ZstdDecompressor().decompress(data[at : at + length], max_output_size=raw)[offset : offset + size])
+def base32(hexadecimal):
+    """Base32 of 160 bits given as hexadecimal: each five digits are four letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    group = lambda i: F.conv(F.substring(hexadecimal, 5 * i + 1, 5), 16, 10).cast("int")
+    letter = lambda v, shift: F.substring(F.lit(letters), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    return F.concat(*(letter(group(i), shift) for i in range(8) for shift in (15, 10, 5, 0)))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = archive(documents(spark, sf_dir, "pages"))
-    return frames.select("frame", "raw_size", "offsets", "sizes").mapInArrow(
-        read_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    )
+    folder = shared_folder(spark)
+    archive(documents(spark, sf_dir, "pages"), folder)
+    files = bundles(spark, folder)
+    return fetch(files, materialize(index(files)))
 
 
 SQL = """
