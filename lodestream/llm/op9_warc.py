@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import documents, materialize, shared_folder
+from lodestream.llm.common import documents, shared_folder
 
 FRAME = 1 << 18
 #: Bytes of records after which a bundle ends.
@@ -140,29 +140,34 @@ def write_bundles(frame_size: int = FRAME, bundle_size: int = BUNDLE):
     return run
 
 
+def own_index(data: bytes) -> list[tuple[int | None, int, int, int]]:
+    """(record id, frame, offset, size) of a bundle's records, from its index frame; decodes nothing. An empty file has none: it is of a table without rows."""
+    if not data:
+        return []
+    at, size, _, _ = read_seek_table(data)[-1]
+    magic, length = struct.unpack("<II", data[at : at + 8])
+    if magic != INDEX or length + 8 != size:
+        raise ValueError("no index where the seek table says")
+    return [(i if has else None, *place) for has, i, *place in _ENTRY.iter_unpack(data[at + 8 : at + size])]
+
+
 def read_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of bundles' index frames; decodes nothing."""
+    """The entries of bundles' index frames."""
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            data = content.as_buffer().to_pybytes()
-            if not data:  # of a table without rows
-                continue
-            at, size, _, _ = read_seek_table(data)[-1]
-            magic, length = struct.unpack("<II", data[at : at + 8])
-            if magic != INDEX or length + 8 != size:
-                raise ValueError("no index where the seek table says")
-            found = list(_ENTRY.iter_unpack(data[at + 8 : at + size]))
-            columns = ([i if has else None for has, i, *_ in found], [path.as_py()] * len(found), *([e[k] for e in found] for k in (2, 3, 4)))
+            found = own_index(content.as_buffer().to_pybytes())
+            columns = ([e[0] for e in found], [path.as_py()] * len(found), *([e[k] for e in found] for k in (1, 2, 3)))
             types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
 
 def read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of bundles (content, wanted: their entries) each record's id, type and what it refers to, with the payload's size and digest: of responses as found in the payload."""
+    """Of bundles (content, wanted: their entries, null: all) each record's id, type and what it refers to, with the payload's size and digest: of responses as found in the payload."""
     for batch in batches:
         for content, wanted in zip(batch.column("content"), batch.column("wanted").to_pylist(), strict=True):
-            out: list[tuple] = []
-            for headers, payload in records(content.as_buffer().to_pybytes(), [(e["frame_no"], e["offset"], e["size"]) for e in wanted]):
+            data, out = content.as_buffer().to_pybytes(), []
+            places = [e[1:] for e in own_index(data)] if wanted is None else [(e["frame_no"], e["offset"], e["size"]) for e in wanted]
+            for headers, payload in records(data, places) if places else ():
                 name = headers["warc-record-id"][10:-1]
                 page_id = int(name) if name else None
                 if headers["warc-type"] == "response":
@@ -230,12 +235,15 @@ def index(files: DataFrame) -> DataFrame:
     return files.mapInArrow(read_index, ENTRIES)
 
 
-def fetch(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """The records of some entries of the index: what read_records returns. A bundle's entries meet its file."""
-    wanted = entries.groupBy("bundle").agg(F.collect_list(F.struct("frame_no", "offset", "size")).alias("wanted"))
-    return files.join(wanted, F.col("path") == F.col("bundle")).select("content", "wanted").mapInArrow(
-        read_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    )
+def fetch(files: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """The records of some entries of the index, whose bundles meet them in a join; without entries all, by each bundle's own index: what read_records returns."""
+    places = "array<struct<frame_no: int, offset: bigint, size: bigint>>"
+    if entries is None:
+        found = files.select("content", F.lit(None).cast(places).alias("wanted"))
+    else:
+        wanted = entries.groupBy("bundle").agg(F.collect_list(F.struct("frame_no", "offset", "size")).alias("wanted"))
+        found = files.join(wanted, F.col("path") == F.col("bundle")).select("content", "wanted")
+    return found.mapInArrow(read_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def base32(hexadecimal):
@@ -249,8 +257,7 @@ def base32(hexadecimal):
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     archive(documents(spark, sf_dir, "pages"), folder)
-    files = bundles(spark, folder)
-    return fetch(files, materialize(index(files)))
+    return fetch(bundles(spark, folder))
 
 
 SQL = """

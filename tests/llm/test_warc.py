@@ -90,6 +90,8 @@ def test_a_damaged_seek_table_or_index_is_noticed(spark, archived, what):
     again = op9.bundles(spark, f"file://{folder}")
     with pytest.raises(Exception):  # noqa: B017
         op9.fetch(again, entries if what == "seek table" else op9.index(again)).collect()
+    with pytest.raises(Exception):  # noqa: B017
+        op9.fetch(again).collect()
 
 
 def test_small_payloads_are_all_responses(spark):
