@@ -13,8 +13,12 @@ from lodestream.functions.refs import PREFIX, in_namespace, mirrored_name
 
 
 def enumerate_refs(refs: DataFrame) -> DataFrame:
-    """Every branch and tag once; other kinds and null names are left out."""
-    return refs.filter(F.col("kind").isin("branch", "tag") & F.col("name").isNotNull()).dropDuplicates(["kind", "name"])
+    """Every branch and tag once; other kinds and null names are left out. Of several rows for a ref the greatest is kept, by the other columns in order."""
+    known = refs.filter(F.col("kind").isin("branch", "tag") & F.col("name").isNotNull())
+    others = [c for c in refs.columns if c not in ("kind", "name")]
+    if not others:
+        return known.distinct()
+    return known.groupBy("kind", "name").agg(F.max(F.struct(*others)).alias("kept")).select("kind", "name", "kept.*").select(refs.columns)
 
 
 def mirror(refs: DataFrame, prefix: str = PREFIX) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators import refs as ops
+from lodestream.session import shared_folder
+from lodestream.sources.refs import read_current, read_mirror, write_mirror
 from lodestream.sources.tables import table
+from lodestream.streaming.sync import sync
 
 #: Refs to mirror, among them the two names that the behaviour's description gives.
 REFS = [
@@ -22,6 +25,13 @@ REFS = [
 ]
 
 
+#: Listings that arrive one after another. A branch moves on, a tag goes, a branch comes.
+LISTINGS = [
+    [("a1", "HEAD"), ("a1", "refs/heads/main"), ("c3", "refs/tags/v1.2.3"), ("c4", "refs/tags/v1.2.3^{}"), ("b7", "refs/pull/7/head")],
+    [("a9", "HEAD"), ("a9", "refs/heads/main"), ("d2", "refs/heads/fix/join")],
+]
+
+
 def _values() -> str:
     quoted = (", ".join("NULL" if v is None else f"'{v}'" for v in row) for row in REFS)
     return "(VALUES " + ", ".join(f"({row})" for row in quoted) + ") AS r(kind, name, object_id)"
@@ -55,6 +65,46 @@ def ref_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.stale(mirrored, _refs(spark).filter("kind = 'branch'")).select("kind", "target")
 
 
+def ref_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mirror, written and read back."""
+    folder = f"{shared_folder(spark)}/mirror"
+    write_mirror(ops.mirror(ops.enumerate_refs(_refs(spark))), folder)
+    return read_mirror(spark, folder).select("kind", "name", "object_id", "target")
+
+
+def _arrive(spark: SparkSession, folder: str, listing: list[tuple[str, str]]) -> None:
+    lines = spark.createDataFrame([(f"{object_id}\t{name}",) for object_id, name in listing], "value string")
+    lines.coalesce(1).write.mode("append").text(folder)
+
+
+def ref_sync_on_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two syncs on demand, one after each listing, leave."""
+    folder = shared_folder(spark)
+    for listing in LISTINGS:
+        _arrive(spark, f"{folder}/listings", listing)
+        sync(spark, f"{folder}/listings", f"{folder}/mirror", f"{folder}/state", once=True).awaitTermination()
+    return read_current(spark, f"{folder}/mirror").select("kind", "name", "object_id", "target")
+
+
+def ref_sync_scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sync on a schedule, here of a second, leaves after both listings."""
+    folder = shared_folder(spark)
+    _arrive(spark, f"{folder}/listings", LISTINGS[0])
+    running = sync(spark, f"{folder}/listings", f"{folder}/mirror", f"{folder}/state", every="1 second")
+    try:
+        running.processAllAvailable()
+        _arrive(spark, f"{folder}/listings", LISTINGS[1])
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return read_current(spark, f"{folder}/mirror").select("kind", "name", "object_id", "target")
+
+
+def ref_restore_after_syncs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch that moved between syncs, as the last one left it."""
+    return ops.restore(ref_sync_on_demand(spark, sf_dir), "main")
+
+
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums by flag and status; one pass, aggregated before its shuffle.
 
@@ -82,11 +132,18 @@ def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (ref_enumerate, ref_mirror, ref_guard, ref_restore, ref_stale, pricing_summary, segment_revenue)
+    f.__name__: f for f in (ref_enumerate, ref_mirror, ref_guard, ref_restore, ref_stale, ref_push, ref_sync_on_demand, ref_sync_scheduled, ref_restore_after_syncs, pricing_summary, segment_revenue)
 }
 ENTRY = pricing_summary
 
 _ENUMERATED = f"(SELECT DISTINCT kind, name, object_id FROM {_values()} WHERE kind IN ('branch', 'tag') AND name IS NOT NULL)"
+_LISTED = "(VALUES " + ", ".join(f"({n}, '{object_id}', '{name}')" for n, listing in enumerate(LISTINGS) for object_id, name in listing) + ") AS l(batch, object_id, full_name)"
+_CURRENT = rf"""
+        SELECT kind, name, arg_max(object_id, batch) AS object_id, 'mirror/' || name AS target
+        FROM (SELECT batch, object_id, CASE WHEN starts_with(full_name, 'refs/heads/') THEN 'branch' ELSE 'tag' END AS kind,
+                     regexp_replace(full_name, '^refs/(heads|tags)/', '') AS name
+              FROM {_LISTED} WHERE regexp_matches(full_name, '^refs/(heads|tags)/') AND NOT ends_with(full_name, '^{{}}'))
+        GROUP BY kind, name"""
 SQL = {
     "ref_enumerate": f"SELECT kind, name, object_id FROM {_ENUMERATED}",
     "ref_mirror": f"SELECT kind, name, 'mirror/' || name AS target FROM {_ENUMERATED}",
@@ -94,6 +151,10 @@ SQL = {
         SELECT kind, target, starts_with(target, 'mirror/') AND length(target) > 7 AS allowed
         FROM (SELECT kind, 'mirror/' || name AS target FROM {_ENUMERATED} UNION ALL SELECT kind, name FROM {_ENUMERATED})""",
     "ref_restore": f"SELECT kind, name, 'mirror/' || name AS target FROM {_ENUMERATED} WHERE name = 'main'",
+    "ref_push": f"SELECT kind, name, object_id, 'mirror/' || name AS target FROM {_ENUMERATED}",
+    "ref_sync_on_demand": _CURRENT,
+    "ref_sync_scheduled": _CURRENT,
+    "ref_restore_after_syncs": f"SELECT * FROM ({_CURRENT}) WHERE name = 'main'",
     "ref_stale": f"""
         SELECT kind, 'mirror/' || name AS target FROM {_ENUMERATED} m
         WHERE NOT EXISTS (SELECT 1 FROM {_ENUMERATED} s WHERE s.kind = 'branch' AND s.kind = m.kind AND s.name = m.name)""",
