@@ -4,18 +4,25 @@ The hash of every k-gram of code points is taken, and of every window of w
 neighbouring hashes the least is kept, the rightmost of equal ones, with its
 position. Two texts that share a run of w + k - 1 code points share a kept hash.
 
-Texts are UTF-32 while they are worked on, so that a k-gram is a slice at a known
-byte. A window's minimum is found by doubling: minima over 1, 2, 4, .. hashes.
+A gram's hash is a rolling one: every code point is hashed once, and a gram's is the XOR of its
+code points' hashes, each shifted by its distance from the gram's end. Neighbouring grams share the sums of
+their parts: those of 4 code points are made from single ones, those of 12 from three of 4. Window minima are
+found likewise, by doubling: over 1, 2, 4, .. hashes. So the time is linear in a text's length.
+
+Texts are UTF-32 while they are worked on, so that a code point is found by its place.
 Texts are taken in segments that overlap by w + k - 2 code points: every window
 lies whole in one segment, so that results don't depend on them and memory is
 bounded by the segment, however long the text.
 
 Null and empty texts have an empty fingerprint. A text shorter than k is one gram;
-with fewer than w grams the whole text is one window.
+with fewer than w grams the whole text is one window. Equal texts have equal fingerprints, whatever their rows.
+An empty table has no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +45,41 @@ def window_count(size: Column, k: int = K, w: int = W) -> Column:
     return F.when(size > 0, F.greatest(size - (w + k - 2), F.lit(1))).otherwise(F.lit(0))
 
 
+def factors(k: int) -> list[int]:
+    """Factors of k, of four at most where it has such: from how many parts the hashes of longer grams are made."""
+    out, rest = [], k
+    for f in (4, 3, 2):
+        while rest % f == 0:
+            out.append(f)
+            rest //= f
+    return out + ([rest] if rest > 1 else [])
+
+
+def gram_hashes(part: Column, k: int) -> Column:
+    """The hash of the k-gram from each code point of a text in UTF-32, null where it doesn't fit."""
+    hashes = F.transform(F.sequence(F.lit(1), F.octet_length(part) - 3, F.lit(4)), lambda byte: F.xxhash64(F.substring(part, byte, F.lit(4))))
+    done = 1
+    for f in factors(k):
+        hashes = let(hashes, joined(f, done))
+        done *= f
+    return hashes
+
+
+def joined(parts: int, size: int):
+    """From the hashes of `size` code points those of `parts` times as many."""
+
+    def sums(a: Column) -> Column:
+        shifted = lambda u, j: F.shiftleft(u, (parts - 1 - j) * size)
+        return F.transform(a, lambda u, i: reduce(Column.bitwiseXOR, [shifted(u, 0), *(shifted(F.get(a, i + j * size), j) for j in range(1, parts))]))
+
+    return sums
+
+
+def doubled(step: int):
+    """From minima over `step` neighbours those over twice as many; fewer at the end."""
+    return lambda a: F.transform(a, lambda u, i: F.least(u, F.get(a, i + step)))
+
+
 def windows(text: Column, first: Column, end: Column, k: int = K, w: int = W) -> Column:
     """What the windows first .. end - 1 of a text keep, packed: hash in the upper 33 bits, position in the lower 31.
 
@@ -47,30 +89,31 @@ def windows(text: Column, first: Column, end: Column, k: int = K, w: int = W) ->
     if w < 1 or w & (w - 1):
         raise ValueError("w must be a power of two")
     low = F.lit((1 << POSITION_BITS) - 1).cast("bigint")
-    starts = F.when(end > first, F.sequence(first, end - 1, F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<bigint>")
 
-    def segment(code: Column, at: Column) -> Column:
+    def segment(code: Column, at: Column, end: Column) -> Column:
         size = F.least(F.lit(SEGMENT), end - at) + (w + k - 2)
-        return let(F.substring(code, at * 4 + 1, size * 4), lambda part: kept(part, at))
+        return let(F.substring(code, at * 4 + 1, size * 4), lambda part: let((F.octet_length(part) / 4).cast("int") - k, lambda last: kept(part, at, F.greatest(last, F.lit(0)), last < 0)))
 
-    def kept(part: Column, at: Column) -> Column:
-        last = F.greatest((F.octet_length(part) / 4).cast("int") - k, F.lit(0))
-        minima = F.transform(
-            F.sequence(last * 4 + 1, F.lit(1), F.lit(-4)),
-            lambda byte, i: F.shiftleft(F.xxhash64(F.substring(part, byte, F.lit(4 * k))), POSITION_BITS).bitwiseOR(i.cast("bigint")),
-        )
+    def kept(part: Column, at: Column, last: Column, short: Column) -> Column:
+        """last: the segment's last gram."""
+        # Bits that all code points of a gram have a share in.
+        pack = lambda h, i: F.shiftleft(F.shiftright(h, 16), POSITION_BITS).bitwiseOR((last - i).cast("bigint"))
+        minima = F.when(short, F.array(pack(F.xxhash64(part), F.lit(0)))).otherwise(F.transform(gram_hashes(part, k), pack))
         step = 1
         while step < w:
-            minima = let(minima, doubling(step))
+            minima = let(minima, doubled(step))
             step *= 2
-        return let((at + last).cast("bigint"), lambda rightmost: F.transform(F.reverse(F.array_distinct(minima)), lambda v: v.bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR(rightmost - v.bitwiseAND(low))))
+        whole = F.slice(minima, F.lit(1), F.greatest(last - (w - 2), F.lit(1)))
+        return F.transform(F.array_distinct(whole), lambda v: v.bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR((at + last).cast("bigint") - v.bitwiseAND(low)))
 
-    def doubling(step: int):
-        return lambda a: F.when(F.size(a) <= step, F.array(F.array_min(a))).otherwise(
-            F.zip_with(F.slice(a, F.lit(1), F.size(a) - step), F.slice(a, F.lit(step + 1), F.size(a) - step), lambda u, v: F.least(u, v))
-        )
+    def of_text(first: Column, end: Column) -> Column:
+        starts = F.when(end > first, F.sequence(first, end - 1, F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
+        return let(F.encode(text, "UTF-32"), lambda code: F.transform(starts, lambda at: segment(code, at, end)))
 
-    return F.coalesce(F.array_distinct(F.flatten(let(F.encode(text, "UTF-32"), lambda code: F.transform(starts, lambda at: segment(code, at))))), F.array().cast("array<bigint>"))
+    # Both ends are counted in code points, once for a text and not for each of its segments.
+    found = let(first, lambda first: let(end, lambda end: of_text(first, end)))
+    return F.coalesce(F.array_distinct(F.flatten(found)), none)
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
@@ -126,14 +169,17 @@ def neighbours(df: DataFrame, key: str, payload: list[str]) -> DataFrame:
         .withColumn("range_no", F.col("group_no") * width + below(F.get(F.array(*map(longs, groups)), F.col("group_no"))) - 1)
         .drop("group_no")
     )
-    tops = dict(sorted(map(tuple, ranged.groupBy("range_no").agg(F.max("at")).collect())))
+    # The first row of a range, in the order of the window: of several with the top key the one with the least tie.
+    firsts = {r.range_no: r.top for r in ranged.groupBy("range_no").agg(F.max(F.struct("at", F.bitwise_not("tie").alias("tie"))).alias("top")).collect()}
+    tops = {i: firsts[i]["at"] for i in sorted(firsts)}
+    ties = [~firsts[i]["tie"] if i in firsts else None for i in range(max(tops, default=0) + 1)]
     ahead = dict(zip([*tops][1:] + [*tops][:1], [*tops], strict=True))  # a range's rows are followed by the top of the range below
     to = {below_: range_no for range_no, below_ in ahead.items()}
     top_of = longs([tops.get(i) for i in range(max(tops, default=0) + 1)])
     goes_to = longs([to.get(i) for i in range(max(tops, default=0) + 1)])
     own = F.struct(F.col("range_no").cast("bigint").alias("range_no"), F.lit(False).alias("sent"))
     copy = F.struct(F.get(goes_to, F.col("range_no")).alias("range_no"), F.lit(True).alias("sent"))
-    places = F.when(F.get(top_of, F.col("range_no")) == F.col("at"), F.array(own, copy)).otherwise(F.array(own))
+    places = F.when((F.get(top_of, F.col("range_no")) == F.col("at")) & (F.get(longs(ties), F.col("range_no")) == F.col("tie")), F.array(own, copy)).otherwise(F.array(own))
     return ranged.withColumn("place", F.explode(places)).select(*payload, "at", "tie", "place.range_no", "place.sent")
 
 

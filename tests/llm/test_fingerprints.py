@@ -2,14 +2,35 @@ from __future__ import annotations
 
 import hashlib
 import random
+from functools import reduce
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lodestream.llm.op1_fingerprints import K, W, op1_fingerprints, window_count, windows, winnow
+from lodestream.llm.op1_fingerprints import K, W, gram_hashes, grams, op1_fingerprints, window_count, windows, winnow
 from tests.llm.conftest import DOCS
 
 
-def brute(grams):
+def gram_hash(gram):
+    """33 bits of the shifted code points' hashes; of the whole where the text is shorter than a gram."""
+    wide = lambda x: xxhash.xxh64(x.encode("utf-32-be"), seed=42).intdigest()
+    if len(gram) < K:
+        h = wide(gram)
+    else:
+        h = 0
+        for c in gram:
+            h = ((h << 1) & (2**64 - 1)) ^ wide(c)
+    return signed(h >> 16, 33)
+
+
+def signed(x, bits):
+    x &= (1 << bits) - 1
+    return x - (1 << bits) if x >> (bits - 1) else x
+
+
+def brute(text):
+    grams = [gram_hash(text[i : i + K]) for i in range(max(len(text) - K, 0) + 1)] if text else []
     kept = set()
     for i in range(max(len(grams) - W + 1, 1) if grams else 0):
         window = grams[i : i + W]
@@ -18,16 +39,57 @@ def brute(grams):
     return sorted(kept, key=lambda x: x[1])
 
 
+def likeness(a, b):
+    a, b = ({h for h, _ in brute(x)} for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_winnow_equals_brute_force(spark):
     rnd = random.Random(5)
-    texts = ["", "a", "abcabcabc" * 3, "x" * 50, "x" * 5000, "".join(rnd.choice("abé\U0001f600") for _ in range(4200)), None]
+    texts = ["", "a", "abcabcabc" * 3, "x" * 50, "x" * 5000, "\0" * 11, "\0" * 12, "".join(rnd.choice("abé\U0001f600") for _ in range(4200)), None]
     texts += ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 60))) for _ in range(40)]
-    grams = [[t[i : i + K] for i in range(max(len(t) - K, 0) + 1)] if t else [] for t in texts]
-    every = sorted({g for x in grams for g in x})
-    hashes = dict(map(tuple, spark.createDataFrame([(g,) for g in every], "g string").select("g", F.shiftright(F.shiftleft(F.xxhash64(F.encode("g", "UTF-32")), 31), 31)).collect()))
+    texts += ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (2047, 2048, 2065, 2066, 2067, 6200)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", winnow(F.col("t")).alias("f")).collect()
+    assert len(got) == len(texts)
     for r in got:
-        assert [(v >> 31, v & (2**31 - 1)) for v in r.f] == brute([hashes[g] for g in grams[r.i]])
+        assert [(v >> 31, v & (2**31 - 1)) for v in r.f] == brute(texts[r.i])
+
+
+@pytest.mark.parametrize("k", [1, 5, 8, 14])
+def test_grams_of_other_lengths(spark, k):
+    rnd = random.Random(k)
+    text = "".join(rnd.choice("abcé") for _ in range(60))
+    (row,) = spark.createDataFrame([(text,)], "t string").select(gram_hashes(F.encode("t", "UTF-32"), k).alias("h")).collect()
+    wide = lambda c: xxhash.xxh64(c.encode("utf-32-be"), seed=42).intdigest()
+    want = [reduce(lambda h, c: ((h << 1) & (2**64 - 1)) ^ wide(c), text[i : i + k], 0) for i in range(60 - k + 1)]
+    assert [h & (2**64 - 1) for h in row.h[: 60 - k + 1]] == want and all(h is None for h in row.h[60 - k + 1 :])
+
+
+def test_time_is_linear_in_a_text(spark):
+    """Texts of 3 MB, more than a slice or segment of any operator, in seconds."""
+    import time
+
+    rnd = random.Random(9)
+    unit = "".join(rnd.choice("abcdefghé ") for _ in range(20_000))
+    times = []
+    for n in (0.1, 0.75, 3):
+        df = spark.createDataFrame([(unit * int(50 * n),)], "t string").select(F.size(winnow(F.col("t"))).alias("n"))
+        began = time.time()
+        assert df.first().n > 100_000 * n
+        times.append(time.time() - began)
+    assert times[2] < 30 and times[2] < 8 * max(times[1], 0.5)
+
+
+def test_shared_runs_share_a_kept_gram(spark):
+    """The guarantee: a shared run of w + k - 1 code points."""
+    rnd = random.Random(2)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    pairs = []
+    for _ in range(200):
+        run = text(W + K - 1)
+        pairs.append((text(rnd.randint(0, 40)) + run + text(rnd.randint(0, 40)), text(rnd.randint(0, 40)) + run + text(rnd.randint(0, 40))))
+    got = spark.createDataFrame(pairs, "a string, b string").select(F.arrays_overlap(grams(winnow(F.col("a"))), grams(winnow(F.col("b")))).alias("x")).collect()
+    assert all(r.x for r in got)
 
 
 def test_head_and_tail_are_the_whole(spark, sf):
@@ -37,7 +99,7 @@ def test_head_and_tail_are_the_whole(spark, sf):
     assert d.filter(F.sort_array(F.array_distinct(F.concat("h", "t"))) != F.sort_array("w")).count() == 0
 
 
-def check_edits(rows, got):
+def check_edits(rows, got, every=1):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     assert len(got) == len(rows)
     found = {}
@@ -51,7 +113,8 @@ def check_edits(rows, got):
         edited = text[: len(text) - cut] + after[:cut]
         (r,) = found[doc_id]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        if i % every == 0:
+            assert r.near_edited == pytest.approx(likeness(text, edited), abs=1e-12) and r.near_next == pytest.approx(likeness(text, after), abs=1e-12)
         if edited == text:
             assert r.near_edited == 1 and r.fingerprint == r.edited_fingerprint
 
@@ -59,7 +122,7 @@ def check_edits(rows, got):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = op1_fingerprints(spark, sf).collect()
-    check_edits(rows, got)
+    check_edits(rows, got, every=4)
     texts = dict(rows)
     marks = {}
     for r in got:
