@@ -6,8 +6,8 @@ position. Two texts that share a run of w + k - 1 code points share a kept hash.
 
 A gram's hash is a rolling one: every code point is hashed once, and a gram's is the XOR of its
 code points' hashes, each shifted by its distance from the gram's end. Neighbouring grams share the sums of
-their parts: those of 4 code points are made from single ones, those of 12 from three of 4. Window minima are
-found likewise, by doubling: over 1, 2, 4, .. hashes. So the time is linear in a text's length.
+their parts: those of 2 code points are made from single ones, those of 4 from two of 2, those of 12 from three of 4.
+Window minima are found likewise, over 4 hashes and then over 8. So the time is linear in a text's length.
 
 Texts are UTF-32 while they are worked on, so that a code point is found by its place.
 Texts are taken in segments that overlap by w + k - 2 code points: every window
@@ -46,49 +46,50 @@ def window_count(size: Column, k: int = K, w: int = W) -> Column:
 
 
 def factors(k: int) -> list[int]:
-    """Factors of k, of four at most where it has such: from how many parts the hashes of longer grams are made."""
+    """Factors of k, of three at most where it has such: from how many parts the hashes of longer grams are made."""
     out, rest = [], k
-    for f in (4, 3, 2):
+    for f in (2, 3):
         while rest % f == 0:
             out.append(f)
             rest //= f
     return out + ([rest] if rest > 1 else [])
 
 
-def gram_hashes(part: Column, k: int) -> Column:
-    """The hash of the k-gram from each code point of a text in UTF-32, null where it doesn't fit."""
+def gram_hashes(part: Column, k: int, finish=lambda h, i: h) -> Column:
+    """The hash of the k-gram from each code point of a text in UTF-32, null where it doesn't fit; finish(hash, place) is what is returned of each."""
     hashes = F.transform(F.sequence(F.lit(1), F.octet_length(part) - 3, F.lit(4)), lambda byte: F.xxhash64(F.substring(part, byte, F.lit(4))))
+    sizes = factors(k)
+    if not sizes:
+        return F.transform(hashes, finish)
     done = 1
-    for f in factors(k):
-        hashes = let(hashes, joined(f, done))
+    for f in sizes[:-1]:
+        hashes = let(hashes, joined(f, done, lambda h, i: h))
         done *= f
-    return hashes
+    return let(hashes, joined(sizes[-1], done, finish))
 
 
-def joined(parts: int, size: int):
+def joined(parts: int, size: int, finish):
     """From the hashes of `size` code points those of `parts` times as many."""
 
     def sums(a: Column) -> Column:
-        shifted = lambda u, j: F.shiftleft(u, (parts - 1 - j) * size)
-        return F.transform(a, lambda u, i: reduce(Column.bitwiseXOR, [shifted(u, 0), *(shifted(F.get(a, i + j * size), j) for j in range(1, parts))]))
+        shifted = lambda u, j: F.shiftleft(u, (parts - 1 - j) * size) if j < parts - 1 else u
+        return F.transform(a, lambda u, i: finish(reduce(Column.bitwiseXOR, [shifted(u, 0), *(shifted(F.get(a, i + j * size), j) for j in range(1, parts))]), i))
 
     return sums
 
 
-def doubled(step: int):
-    """From minima over `step` neighbours those over twice as many; fewer at the end."""
-    return lambda a: F.transform(a, lambda u, i: F.least(u, F.get(a, i + step)))
+def greatest_of(parts: int, size: int):
+    """From maxima over `size` neighbours those over `parts` times as many; fewer at the end."""
+    return lambda a: F.transform(a, lambda u, i: F.greatest(u, *(F.get(a, i + j * size) for j in range(1, parts))))
 
 
 def windows(text: Column, first: Column, end: Column, k: int = K, w: int = W) -> Column:
-    """What the windows first .. end - 1 of a text keep, packed: hash in the upper 33 bits, position in the lower 31.
+    """What the windows first .. end - 1 of a text keep, packed: the complement of the hash in the upper 33 bits, position in the lower 31.
 
-    While minima are taken, the lower bits count from the right, so that the least long is the least hash at
-    its rightmost place. w must be a power of two.
+    So the greatest of packed values is the least hash at its rightmost place. w must be a power of two.
     """
     if w < 1 or w & (w - 1):
         raise ValueError("w must be a power of two")
-    low = F.lit((1 << POSITION_BITS) - 1).cast("bigint")
     none = F.array().cast("array<bigint>")
 
     def segment(code: Column, at: Column, end: Column) -> Column:
@@ -98,14 +99,15 @@ def windows(text: Column, first: Column, end: Column, k: int = K, w: int = W) ->
     def kept(part: Column, at: Column, last: Column, short: Column) -> Column:
         """last: the segment's last gram."""
         # Bits that all code points of a gram have a share in.
-        pack = lambda h, i: F.shiftleft(F.shiftright(h, 16), POSITION_BITS).bitwiseOR((last - i).cast("bigint"))
-        minima = F.when(short, F.array(pack(F.xxhash64(part), F.lit(0)))).otherwise(F.transform(gram_hashes(part, k), pack))
-        step = 1
-        while step < w:
-            minima = let(minima, doubled(step))
-            step *= 2
-        whole = F.slice(minima, F.lit(1), F.greatest(last - (w - 2), F.lit(1)))
-        return F.transform(F.array_distinct(whole), lambda v: v.bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR((at + last).cast("bigint") - v.bitwiseAND(low)))
+        pack = lambda h, i: F.shiftleft(F.shiftright(h, 16), POSITION_BITS).bitwiseOR(i.cast("bigint"))
+        most = F.when(short, F.array(pack(F.xxhash64(part), F.lit(0)))).otherwise(gram_hashes(part, k, pack))
+        reach = 1
+        while reach < w:
+            parts = 4 if reach * 4 <= w else 2
+            most = let(most, greatest_of(parts, reach))
+            reach *= parts
+        whole = F.array_distinct(F.slice(most, F.lit(1), F.greatest(last - (w - 2), F.lit(1))))
+        return let(at.cast("bigint"), lambda by: F.transform(whole, lambda v: v + by))
 
     def of_text(first: Column, end: Column) -> Column:
         starts = F.when(end > first, F.sequence(first, end - 1, F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
@@ -116,13 +118,36 @@ def windows(text: Column, first: Column, end: Column, k: int = K, w: int = W) ->
     return F.coalesce(F.array_distinct(F.flatten(found)), none)
 
 
+def up_to(fingerprint: Column, count: Column, w: int = W) -> Column:
+    """What the first `count` windows of a text keep, of what all its windows keep.
+
+    A kept hash's first window is the one in which it comes in, if it is no greater than the one kept before it, else the one in which
+    that goes out. It is w - 1 places before the hash at most, so that only hashes about the last window need be looked at closely.
+    """
+    hash_, place = (lambda v: F.shiftright(v, POSITION_BITS)), (lambda v: v.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
+
+    def first(v: Column, before: Column, i: Column) -> Column:
+        return F.when(i == 0, F.lit(0)).otherwise(F.when(hash_(v) >= hash_(before), place(v) - (w - 1)).otherwise(place(before) + 1))
+
+    def holds(a: Column, v: Column, i: Column) -> Column:
+        return F.when(place(v) < count, F.lit(True)).otherwise(F.when(place(v) >= count + (w - 1), F.lit(False)).otherwise(first(v, F.get(a, i - 1), i) < count))
+
+    # A window before the first is none, of a fingerprint whose first hash lies further on too.
+    return F.when(count <= 0, F.array().cast("array<bigint>")).otherwise(let(fingerprint, lambda a: F.filter(a, lambda v, i: holds(a, v, i))))
+
+
+def moved(fingerprint: Column, by: Column) -> Column:
+    """A fingerprint with all its positions moved."""
+    return F.transform(fingerprint, lambda v: v + by.cast("bigint"))
+
+
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
     """The fingerprint of a whole text, as `windows` packs it."""
     return windows(text, F.lit(0), window_count(F.length(text), k, w), k, w)
 
 
 def grams(fingerprint: Column) -> Column:
-    """A fingerprint's distinct hashes, without positions."""
+    """A fingerprint's distinct hashes (their complements), without positions."""
     return F.array_distinct(F.transform(fingerprint, lambda v: F.shiftright(v, POSITION_BITS)))
 
 
@@ -187,34 +212,34 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     Of rows with one doc_id, the next is told by a hash of the row. A lone document is its own next.
+
+    An edited text is the head of one text and the head of another. Windows that lie in either keep there what they keep in
+    the whole text, which is fingerprinted anyway; only those across the seam are taken anew.
     """
     df = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("range_no").orderBy("sent", F.desc("at"), "tie")
     place = ["range_no", "sent", "at", "tie"]
-    n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    keep = ["doc_id", *place, "n_chars", "cut"]
+    reach = W + K - 2
     texts = (
         neighbours(df, "doc_id", ["doc_id", "text"])
-        .withColumn("next", F.lead("text").over(order))
-        .withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)))
-        .select("doc_id", *place, n.cast("bigint").alias("n_chars"), "text", "edited")
+        .withColumn("n_chars", F.length("text")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
+        .withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     )
-    # Windows that lie before the cut are the same in both texts, and are taken once.
-    same = F.greatest(n - cut - (W + K - 2), F.lit(0))
-    keep = ["doc_id", *place, "n_chars"]
+    head, tail = F.substring("text", F.lit(1), F.col("n_chars") - F.col("cut")), F.substring("next", F.lit(1), F.col("cut"))
+    cut_at, tail_size = F.col("n_chars") - F.col("cut"), F.length("tail")
+    # Around the seam: as many code points on both sides as a window reaches, or all of a short edited text.
+    across = F.concat(F.substring("head", cut_at - (reach - 1), F.lit(reach)), F.substring("tail", F.lit(1), F.lit(reach)))
+    seam = F.when(cut_at <= reach, F.concat("head", "tail")).otherwise(F.when(tail_size > 0, across).otherwise(""))
     marked = (
-        texts.withColumn("same", same)
-        .select(
-            *keep, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            windows(F.col("text"), F.lit(0), F.col("same")).alias("head"),
-            windows(F.col("text"), F.col("same"), window_count(n)).alias("tail"),
-            windows(F.col("edited"), F.col("same"), window_count(F.length("edited"))).alias("other"),
-        )
-        .select(*keep, "edited_sha256", F.array_distinct(F.concat("head", "tail")).alias("a"), F.array_distinct(F.concat("head", "other")).alias("b"))
-        .select(*keep, "edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"), grams(F.col("a")).alias("a"), grams(F.col("b")).alias("b"))
-        .select(*keep, "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), "a")
+        texts.withColumn("head", head).withColumn("tail", tail)
+        .select(*keep, tail_size.alias("tail_size"), F.sha2(F.concat("head", "tail").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text")).alias("a"), winnow(seam).alias("seam"))
+        .withColumn("next", F.lead("a").over(order)).filter(~F.col("sent"))
     )
+    parts = F.concat(up_to(F.col("a"), cut_at - reach), moved(F.col("seam"), cut_at - reach), moved(up_to(F.col("next"), F.col("tail_size") - reach), cut_at))
     return (
-        marked.withColumn("next", F.lead("a").over(order))
-        .filter(~F.col("sent"))
-        .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("a"), F.col("next")).alias("near_next"))
+        marked.withColumn("b", F.when(cut_at <= reach, F.col("seam")).otherwise(F.array_distinct(parts)))
+        .withColumn("fingerprint", digest(F.col("a"))).withColumn("edited_fingerprint", digest(F.col("b")))
+        .select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", grams(F.col("a")).alias("a"), grams(F.col("b")).alias("b"), grams(F.col("next")).alias("next"))
+        .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"))
     )

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestream.llm.op1_fingerprints import K, W, gram_hashes, grams, op1_fingerprints, window_count, windows, winnow
+from lodestream.llm.op1_fingerprints import K, W, digest, gram_hashes, grams, op1_fingerprints, up_to, window_count, windows, winnow
 from tests.llm.conftest import DOCS
 
 
@@ -21,7 +21,7 @@ def gram_hash(gram):
         h = 0
         for c in gram:
             h = ((h << 1) & (2**64 - 1)) ^ wide(c)
-    return signed(h >> 16, 33)
+    return ~signed(h >> 16, 33)
 
 
 def signed(x, bits):
@@ -52,7 +52,7 @@ def test_winnow_equals_brute_force(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", winnow(F.col("t")).alias("f")).collect()
     assert len(got) == len(texts)
     for r in got:
-        assert [(v >> 31, v & (2**31 - 1)) for v in r.f] == brute(texts[r.i])
+        assert [(~(v >> 31), v & (2**31 - 1)) for v in r.f] == brute(texts[r.i])
 
 
 @pytest.mark.parametrize("k", [1, 5, 8, 14])
@@ -92,11 +92,33 @@ def test_shared_runs_share_a_kept_gram(spark):
     assert all(r.x for r in got)
 
 
-def test_head_and_tail_are_the_whole(spark, sf):
+def test_first_windows_of_a_fingerprint(spark, sf):
     n = F.length("text")
-    c = F.greatest(n - 40, F.lit(0))
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(windows(F.col("text"), F.lit(0), c).alias("h"), windows(F.col("text"), c, window_count(n)).alias("t"), winnow(F.col("text")).alias("w"))
-    assert d.filter(F.sort_array(F.array_distinct(F.concat("h", "t"))) != F.sort_array("w")).count() == 0
+    df = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([("ab" * 40,), ("x" * 70,), ("abc",)], "text string"), allowMissingColumns=True)
+    for count in (F.lit(1), F.floor(n / 3).cast("int"), n):
+        m = F.least(count, window_count(n))
+        assert df.filter(m > 0).filter(~up_to(winnow(F.col("text")), m).eqNullSafe(windows(F.col("text"), F.lit(0), m))).count() == 0
+
+
+def edited_and_wanted(spark, folder):
+    rows = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()), reverse=True)
+    edited = [(d, t[: len(t) - len(t) // 3] + rows[(i + 1) % len(rows)][1][: len(t) // 3]) for i, (d, t) in enumerate(rows)]
+    want = spark.createDataFrame(edited, "doc_id long, t string").select("doc_id", digest(winnow(F.col("t"))).alias("want"))
+    return op1_fingerprints(spark, folder).join(want, "doc_id")
+
+
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark, sf):
+    assert edited_and_wanted(spark, sf).filter("edited_fingerprint <> want").count() == 0
+
+
+def test_edits_of_all_short_lengths(spark, write):
+    """Seams at every place, with heads and tails shorter and longer than a window reaches, and empty ones."""
+    rnd = random.Random(12)
+    sizes = [*range(70), *(rnd.choice((0, 1, 17, 18, 19, 20, 37, 38, 39, 55, 56, 57, 58, 60, 300)) for _ in range(130))]
+    rnd.shuffle(sizes)
+    rows = [(i, "".join(rnd.choice("abc") for _ in range(n)), None, None, None) for i, n in enumerate(sizes)]
+    got = edited_and_wanted(spark, write(rows, DOCS))
+    assert got.count() == len(rows) and got.filter("edited_fingerprint <> want").count() == 0
 
 
 def check_edits(rows, got, every=1):
