@@ -80,6 +80,39 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK) -> It
         start = end
 
 
+def sorted_tables(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, split: bool = False) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by the keys in tables of about `most` bytes, or a key's rows where these are more: no key is in two tables.
+
+    With `split` a key with more is in several, each with nothing else before it. True: the table begins with more rows of the last one's key.
+    """
+    held: list[pa.RecordBatch] = []
+    size, goes_on = 0, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held)
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            values = table[k].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        if new.any():
+            at = int(np.flatnonzero(new)[-1])
+            yield table.slice(0, at).combine_chunks(), goes_on
+            rest = table.slice(at).combine_chunks()
+            held, size, goes_on = rest.to_batches(), rest.nbytes, False
+        elif split:
+            # Its last row stays, so that the next table tells by itself whether the key goes on.
+            yield table.slice(0, table.num_rows - 1).combine_chunks(), goes_on
+            rest = table.slice(table.num_rows - 1).combine_chunks()
+            held, size, goes_on = rest.to_batches(), rest.nbytes, True
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), goes_on
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import documents, materialize, mix, partitions, shingle_hashes, slices, text_bytes, word_hashes
+from lodestream.llm.common import documents, materialize, mix, partitions, shingle_hashes, slices, sorted_tables, text_bytes, word_hashes
 from lodestream.llm.components import components
 
 K = 5
@@ -37,6 +37,10 @@ K = 5
 FREQUENT = 8
 FREQUENT_KEPT = 1 << 16
 LINK = (100, 80)
+#: Bytes of sorted keys that are taken at once.
+BLOCK = 1 << 22
+#: Classes of a key that a task pairs with each other, or with as many others, about.
+PAIRED = 1 << 12
 #: Classes of a key that are tried with all others of it before pairs are formed.
 HUBS = 4
 _WORD, _PLACE, _SET, _BIT, _SHINGLE = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95))
@@ -211,12 +215,6 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    """A partition's columns."""
-    parts = [[np.asarray(b.column(c)) for c in names] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64) for _ in names]
-
-
 def near_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sets of such sizes can link."""
     return LINK[0] * np.minimum(a, b) >= LINK[1] * np.maximum(a, b)
@@ -226,37 +224,41 @@ BUCKETS = "kind int, a long, b long, n long"
 
 
 def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's keys, kind 0: links to try (a, b) from each key's least class; kind 1: (key, class, n) of keys with three classes or more.
+    """Of keys (key, class, n), sorted by key and class, kind 0: links to try (a, b) from each key's least class; kind 1: (key, class, n) of keys with three classes or more.
 
-    Keys with the same classes are alike, and one of them is kept.
+    Keys with the same classes are alike, and of those that meet one is kept. A key with very many classes is taken in parts, each with the least class.
     """
-    key, name, n = gathered(batches, ["key", "class", "n"])
-    order = np.lexsort((name, key))
-    key, name, n = key[order], name[order], n[order]
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-    key, name, n = key[keep], name[keep], n[keep]
-    starts, size = runs(key)
-    several = size > 1
-    member = np.repeat(several, size)
-    key, name, n = key[member], name[member], n[member]
-    starts, size = runs(key)
-    alike = per_row(mix(name.view(np.uint64)), np.append(starts, len(key)))
-    _, one = np.unique(alike, return_index=True)
-    chosen = np.zeros(len(starts), bool)
-    chosen[one] = True
-    member = np.repeat(chosen, size)
-    key, name, n = key[member], name[member], n[member]
-    starts, size = runs(key)
-    lead = np.repeat(starts, size)
-    spoke = np.arange(len(key)) != lead
-    pair = np.unique(np.stack([name[lead], name], 1)[spoke & near_size(n[lead], n)], axis=0) if len(key) else np.zeros((0, 2), np.int64)
-    many = np.repeat(size > 2, size)
-    columns = [np.zeros(len(pair), np.int32), pair[:, 0], pair[:, 1], np.zeros(len(pair), np.int64)], [np.ones(many.sum(), np.int32), key[many], name[many], n[many]]
-    for at in range(0, max(len(pair), 1), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns[0]], names=["kind", "a", "b", "n"])
-    for at in range(0, max(int(many.sum()), 1), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns[1]], names=["kind", "a", "b", "n"])
+    lead: list[np.ndarray] = []
+    for table, goes_on in sorted_tables(batches, ["key"], BLOCK, split=True):
+        key, name, n = (table[c].to_numpy() for c in ("key", "class", "n"))
+        if goes_on:
+            key, name, n = (np.concatenate(x) for x in zip(lead, (key, name, n), strict=True))
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        key, name, n = key[keep], name[keep], n[keep]
+        last = int(runs(key)[0][-1])  # the last key's least class, should the key go on
+        lead = [key[last : last + 1], name[last : last + 1], n[last : last + 1]]
+        starts, size = runs(key)
+        split = np.zeros(len(starts), bool)
+        split[0] = goes_on
+        member = np.repeat((size > 1) | split, size)
+        many_of = np.repeat((size > 2) | split, size)[member]
+        key, name, n = key[member], name[member], n[member]
+        starts, size = runs(key)
+        alike = per_row(mix(name.view(np.uint64)), np.append(starts, len(key)))
+        _, one = np.unique(alike, return_index=True)
+        chosen = np.zeros(len(starts), bool)
+        chosen[one] = True
+        member = np.repeat(chosen, size)
+        key, name, n, many = key[member], name[member], n[member], many_of[member]
+        starts, size = runs(key)
+        first = np.repeat(starts, size)
+        spoke = np.arange(len(key)) != first
+        pair = np.unique(np.stack([name[first], name], 1)[spoke & near_size(n[first], n)], axis=0) if len(key) else np.zeros((0, 2), np.int64)
+        columns = [np.zeros(len(pair), np.int32), pair[:, 0], pair[:, 1], np.zeros(len(pair), np.int64)], [np.ones(many.sum(), np.int32), key[many], name[many], n[many]]
+        for values in columns:
+            for at in range(0, len(values[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in values], names=["kind", "a", "b", "n"])
 
 
 def pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
@@ -264,50 +266,65 @@ def pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each key's HUBS classes that meet most others with its classes of other components."""
-    key, name, n, root, met = gathered(batches, ["key", "class", "n", "root", "met"])
-    order = np.lexsort((name, -met, key))
-    key, name, n, root = key[order], name[order], n[order], root[order]
-    starts, size = runs(key)
-    found = []
-    for h in range(HUBS):
-        enough = size > h
-        hub, row = np.repeat(starts[enough] + h, size[enough]), np.flatnonzero(np.repeat(enough, size))
-        good = (root[hub] != root[row]) & near_size(n[hub], n[row])
-        found.append(np.stack([np.minimum(name[hub], name[row])[good], np.maximum(name[hub], name[row])[good]], 1))
-    yield pairs_batch(np.unique(np.concatenate(found), axis=0))
+    """Pairs (a, b) of each key's HUBS classes that meet most others with its classes of other components. Sorted by key, met descending, class."""
+    names = ("key", "class", "n", "root")
+    heads: list[np.ndarray] = []
+    for table, goes_on in sorted_tables(batches, ["key"], BLOCK, split=True):
+        columns = [table[c].to_numpy() for c in names]
+        if goes_on:
+            columns = [np.concatenate(x) for x in zip(heads, columns, strict=True)]
+        key, name, n, root = columns
+        last = int(runs(key)[0][-1])
+        heads = [c[last : last + HUBS] for c in columns]
+        starts, size = runs(key)
+        found = []
+        for h in range(HUBS):
+            enough = size > h
+            hub, row = np.repeat(starts[enough] + h, size[enough]), np.flatnonzero(np.repeat(enough, size))
+            good = (root[hub] != root[row]) & near_size(n[hub], n[row])
+            found.append(np.stack([np.minimum(name[hub], name[row])[good], np.maximum(name[hub], name[row])[good]], 1))
+        yield pairs_batch(np.unique(np.concatenate(found), axis=0))
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of classes under one key, of different components, whose sizes and small sketches let them link."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, name, n, root = gathered(iter(parts), ["key", "class", "n", "root"])
-    order = np.lexsort((n, key))
-    small = pa.chunked_array([b.column("small") for b in parts]).to_pylist()
-    key, name, n, root = key[order], name[order], n[order], root[order]
-    out: list[np.ndarray] = []
-    held = 0
-    for start, size in zip(*(x.tolist() for x in runs(key)), strict=True):
-        rows = slice(start, start + size)
-        own = [small[i] for i in order[rows]]
-        width = min(map(len, own))
-        bits = np.frombuffer(b"".join(folded(x, width) for x in own), np.uint64).reshape(size, -1)
-        m, r, c = n[rows], root[rows], name[rows]
-        for i in range(size - 1):
-            # Sizes ascend: those that can link to m[i] end where m[i] is under four fifths.
-            last = int(np.searchsorted(m, m[i] * LINK[0] // LINK[1], "right"))
-            j = np.flatnonzero(r[i + 1 : last] != r[i]) + i + 1
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= (m[j] + m[i]) // 9]
-            if len(j):
-                out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1))
-                held += len(j)
-        if held > 1 << 18:
+    """Pairs (a, b) of classes under one key, of different components, whose sizes and small sketches let them link.
+
+    A key's classes come in blocks, two at a time: pairs are formed within a block (lo = hi) or across the two. Sorted by key, lo, hi.
+    """
+    for table, _ in sorted_tables(batches, ["key", "lo", "hi"], BLOCK):
+        out: list[np.ndarray] = []
+        key, lo, hi, n = (table[c].to_numpy() for c in ("key", "lo", "hi", "n"))
+        order = np.lexsort((n, hi, lo, key))
+        name, n, root, block = (table[c].to_numpy()[order] for c in ("class", "n", "root", "block"))
+        small = table["small"].to_pylist()
+        group = np.cumsum(np.concatenate([[0], (key[order][1:] != key[order][:-1]) | (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]))
+        for start, size in zip(*(x.tolist() for x in runs(group)), strict=True):
+            rows = slice(start, start + size)
+            own = [small[i] for i in order[rows]]
+            width = min(map(len, own))
+            bits = np.frombuffer(b"".join(folded(x, width) for x in own), np.uint64).reshape(size, -1)
+            m, r, c, part = n[rows], root[rows], name[rows], block[rows]
+            both = lo[order[start]] != hi[order[start]]
+            for i in range(size - 1):
+                # Sizes ascend: those that can link to m[i] end where m[i] is under four fifths.
+                last = int(np.searchsorted(m, m[i] * LINK[0] // LINK[1], "right"))
+                fits = r[i + 1 : last] != r[i]
+                if both:
+                    fits &= part[i + 1 : last] != part[i]
+                j = np.flatnonzero(fits) + i + 1
+                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= (m[j] + m[i]) // 9]
+                if len(j):
+                    out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1))
+        if out:
             yield pairs_batch(np.unique(np.concatenate(out), axis=0))
-            out, held = [], 0
-    if out:
-        yield pairs_batch(np.unique(np.concatenate(out), axis=0))
+
+
+def in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (key, size, class, ..) with block, lo and hi: a key's classes in blocks of about `most`, each pair of blocks once."""
+    blocks = F.ceil(F.col("size") / most).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn("other", other)
+    return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +356,14 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(docs: DataFrame, classes: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: first by sketches, then by whole sets. classes: (class, first), first a doc_id with the class's set."""
+    """The pairs (a, b) that link: first by sketches, then by whole sets. classes: (class, holder), holder a doc_id and text_hash with the class's set."""
     m, x = sketches.select(F.col("class").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), sketches.select(F.col("class").alias("b"), "n", F.col("sketch").alias("y"))
     pairs = materialize(pairs.join(m, "a").join(x, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(likely, "a long, b long"))
     need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = docs.join(need.join(classes, "class"), docs["doc_id"].eqNullSafe(F.col("first"))).select("class", "text")
+    held = need.join(classes, "class").select("class", F.col("holder.doc_id").alias("of_doc"), F.col("holder.text_hash").alias("of_hash"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    # By both: neither rows of one doc_id nor copies of one text meet more than their own.
+    texts = hashed.join(held, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("class", "text")
     tokens = materialize(texts.mapInArrow(sets_of, "class long, tokens binary").dropDuplicates(["class"]), "lz4")
     both = (
         pairs.join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
@@ -362,9 +382,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = described.filter("kind = 2").select("class", "n", "sketch", "small").dropDuplicates(["class"])
     often = described.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT_KEPT).select("class").toArrow()["class"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    classes = slim.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
+    classes = slim.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("holder"))
     keys = docs.mapInArrow(emit_keys(frequent), "key long, class long, n long")
-    buckets = materialize(keys.repartition(parts, "key").mapInArrow(bucket, BUCKETS))
+    buckets = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "class").mapInArrow(bucket, BUCKETS))
     links = verify(docs, classes, sketches, buckets.filter("kind = 0").select("a", "b").distinct())
     roots = components(links)
     crowded = buckets.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class"), "n")
@@ -377,11 +397,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = still_mixed(crowded, roots)
     if mixed.limit(1).count():
         met = mixed.groupBy("class").agg(F.sum("size").alias("met"))
-        tried = mixed.join(met, "class").select("key", "class", "n", "root", "met").repartition(parts, "key").mapInArrow(hubs, "a long, b long").distinct()
+        tried = mixed.join(met, "class").select("key", "class", "n", "root", "met").repartition(parts, "key").sortWithinPartitions("key", F.desc("met"), "class").mapInArrow(hubs, "a long, b long").distinct()
         links = links.unionByName(verify(docs, classes, sketches, tried))
         roots = components(links)
         mixed = still_mixed(mixed.select("key", "class", "n"), roots)
-        rest = materialize(mixed.join(sketches.select("class", "small"), "class").select("key", "class", "n", "root", "small").repartition(parts, "key").mapInArrow(across, "a long, b long").distinct())
+        paired = in_blocks(mixed, PAIRED).join(sketches.select("class", "small"), "class").select("key", "lo", "hi", "block", "class", "n", "root", "small")
+        rest = materialize(paired.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(across, "a long, b long").distinct())
         if rest.limit(1).count():
             roots = components(links.unionByName(verify(docs, classes, sketches, rest)))
     labelled = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

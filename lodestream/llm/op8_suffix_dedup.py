@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.llm.common import BASE, BYTE_WORDS, INVERSE, cached_powers, documents, materialize, mix, partitions, powers, release, slices, text_bytes
+from lodestream.llm.common import BASE, BYTE_WORDS, INVERSE, cached_powers, documents, materialize, mix, partitions, powers, release, slices, sorted_tables, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -305,31 +305,6 @@ def mark_block(pieces: list[bytes], count: np.ndarray, document: np.ndarray, sta
 MARKS = "at long, text_hash long, start long, strings long"
 
 
-def sorted_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
-    """Rows sorted by the keys in tables of about `most` bytes, or a key's rows where these are more: no key is in two tables."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size < most:
-            continue
-        table = pa.Table.from_batches(held)
-        new = np.zeros(table.num_rows, bool)
-        for k in keys:
-            values = table[k].to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        if new.any():
-            cut_at = int(np.flatnonzero(new)[-1])
-            yield table.slice(0, cut_at).combine_chunks()
-            rest = table.slice(cut_at).combine_chunks()
-            held, size = rest.to_batches(), rest.nbytes
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def marked(table: pa.Table, alone: bool) -> Iterator[tuple[str, tuple]]:
     """Marks of a table of runs, sorted by anchor: ("later", columns of MARKS), and ("least", (run, start, bytes)) of the strings that aren't marked.
 
@@ -371,7 +346,7 @@ def marked(table: pa.Table, alone: bool) -> Iterator[tuple[str, tuple]]:
 
 def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of a partition's runs (or strings: runs of one), sorted by anchor."""
-    for table in sorted_blocks(batches, ["anchor"], BLOCK):
+    for table, _ in sorted_tables(batches, ["anchor"], BLOCK):
         for what, columns in marked(table, False):
             if what == "later":
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["at", "text_hash", "start", "strings"])
@@ -382,7 +357,7 @@ def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A string's anchor, from here on, is its own hash: however common, it is one row from each block at most.
     """
-    for table in sorted_blocks(batches, ["anchor", "content"], BLOCK):
+    for table, _ in sorted_tables(batches, ["anchor", "content"], BLOCK):
         for what, (at, ids, start, rest) in marked(table, True):
             if what == "later":
                 yield run_rows(len(at), 2, at=at, text_hash=ids, start=start, strings=rest)

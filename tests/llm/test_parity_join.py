@@ -128,6 +128,68 @@ def test_all_short_linked_sets_share_a_key():
     assert all(keys[a] & keys[b] for a, b in zip(names[::2], names[1::2], strict=True))
 
 
+def test_linked_sets_of_all_small_sizes_share_a_key():
+    """40,000 linked pairs of 4 to 40 shingles, as far apart as links allow, and a pair that once was lost."""
+    rnd = random.Random(17)
+    lost = "w157413274 w740954425 w583226946 w981556560 w29036651 w814049802 w567053193 w320071361"
+    pairs = [(lost, lost + " w690326952")]
+    for n in range(4, 41):
+        for _ in range(1081):
+            words = [f"w{rnd.randrange(10**9)}" for _ in range(n + 4)]
+            gone = rnd.randint(0, n // 5) if n % 2 else n // 5
+            front = rnd.randint(0, gone)
+            pairs.append((" ".join(words), " ".join(words[front : len(words) - (gone - front)])))
+    texts = [t for p in pairs for t in p]
+    keys = emitted(texts)
+    names = op3.class_of(*op3.shingle_sets(pa.array(texts))).tolist()
+    assert len(pairs) > 39_000 and all(a == b or keys[a] & keys[b] for a, b in zip(names[::2], names[1::2], strict=True))
+
+
+def rows_of(batches, columns):
+    return [tuple(r[c] for c in columns) for b in batches for r in b.to_pylist()]
+
+
+def test_hot_keys_in_parts_give_the_same(monkeypatch):
+    """Keys with 5,000 classes and with few, taken whole and in parts of some hundred rows."""
+    rng = np.random.default_rng(4)
+    key = np.concatenate([np.full(5000, 7), np.repeat(np.arange(100, 400), rng.integers(1, 6, 300)), np.full(3000, 900)])
+    name = rng.integers(0, 10**6, len(key))
+    table = pa.table({"key": key, "class": name, "n": 90 + name % 30, "root": name % 50, "met": name % 97})
+    table = table.sort_by([("key", "ascending"), ("class", "ascending")])
+    hubbed = table.sort_by([("key", "ascending"), ("met", "descending"), ("class", "ascending")])
+    got = {}
+    for block in (1 << 30, 1 << 12):
+        monkeypatch.setattr(op3, "BLOCK", block)
+        buckets = rows_of(op3.bucket(iter(table.to_batches(200))), ("kind", "a", "b", "n"))
+        got[block] = {r for r in buckets if r[0] == 0}, {r for r in buckets if r[0] == 1}, set(rows_of(op3.hubs(iter(hubbed.to_batches(200))), ("a", "b")))
+    whole, parts = got.values()
+    assert whole[0] == parts[0] and whole[1] == parts[1] and whole[2] == parts[2] and len(whole[2]) > 1000
+
+
+def test_blocks_of_a_key_meet_once(spark):
+    rows = [(1, i, 100, i % 3, 100, bytes(8)) for i in range(100)] + [(2, i, 100, i, 2, bytes(8)) for i in range(2)]
+    dealt = op3.in_blocks(spark.createDataFrame(rows, "key long, class long, n long, root long, size long, small binary"), 16).collect()
+    met = Counter()
+    groups = defaultdict(list)
+    for r in dealt:
+        groups[r.key, r.lo, r.hi].append(r)
+    assert max(map(len, groups.values())) < 80
+    for (key, lo, hi), own in groups.items():
+        met.update((key, a["class"], b["class"]) for a in own for b in own if a["class"] < b["class"] and (lo == hi or a.block != b.block))
+    assert len(met) == 100 * 99 // 2 + 1 and set(met.values()) == {1}
+    table = spark.createDataFrame(dealt).sort("key", "lo", "hi").toArrow()
+    found = rows_of(op3.across(iter(table.to_batches())), ("a", "b"))
+    assert len(found) == len(set(found)) and set(found) >= {(a, b) for a in range(100) for b in range(a + 1, 100) if a % 3 != b % 3}
+
+
+def test_copies_under_null_ids(spark, write):
+    """Many rows without an id, of many classes: each class's text is fetched for itself."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*base[:39], f"x{i}"]) for i in range(30)] * 4
+    got = op3.op3_parity_join(spark, write([(None, t, None, None, None) for t in texts] + [(9, " ".join(base), None, None, None)], DOCS)).collect()
+    assert len(got) == 121 and {r.component_id for r in got} == {9}
+
+
 def test_short_linked_texts_are_one_component(spark, write):
     rows = [t for p in short_pairs(1500) for t in p]
     got = {r.doc_id: r.component_id for r in op3.op3_parity_join(spark, write([(i, t, None, None, None) for i, t in enumerate(rows)], DOCS)).collect()}
