@@ -9,7 +9,11 @@ Each remainder has a rank in its class, from its place in its task and the tasks
 task's work. A pattern takes a range of ranks of each of its classes, which tells a piece's sequence by arithmetic. What
 the driver holds, histogram, patterns and ranges, is bounded by classes and patterns, whatever the number of rows.
 
-Null text is empty: one token, the end. Equal rows and rows with one doc_id are packed each for itself.
+Documents may come in windows, numbered in the order in which sequences are to be used, as along a curriculum: each
+window is planned for itself, and its sequences are numbered behind those of the windows before.
+
+Null text is empty: one token, the end. Equal rows and rows with one doc_id are packed each for itself. An empty table has no
+pieces. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,7 +83,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def cut_pieces(vocabulary: str, length: int, width: int):
-    """Pieces of each document; class 0: full sequences, else the remainder's length over width, rounded up; place: count of the class in the task so far."""
+    """Pieces of each document; class 0: full sequences, else the remainder's length over width, rounded up; place: count of the class in the task so far.
+
+    The classes of window w are w times the number of classes higher.
+    """
+    classes = length // width + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(vocabulary), TaskContext.get().partitionId()
@@ -87,11 +95,11 @@ def cut_pieces(vocabulary: str, length: int, width: int):
         for batch in batches:
             for part in slices(batch):
                 out: list[tuple] = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for doc_id, text, window in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "window")), strict=True):
                     ids = np.array([*encode(text or ""), END], "<u4")
                     for at in range(0, len(ids), length):
                         piece = ids[at : at + length]
-                        kind = 0 if len(piece) == length else -(-len(piece) // width)
+                        kind = window * classes + (0 if len(piece) == length else -(-len(piece) // width))
                         out.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), kind, task, places[kind]))
                         places[kind] += 1
                 columns = list(zip(*out, strict=True)) or [()] * 8
@@ -200,14 +208,26 @@ def plan(demand: dict[int, int], room: int) -> tuple[dict[int, np.ndarray], int]
     return {s: np.array(r, np.int64).reshape(-1, 3) for s, r in ranges.items()}, sequence
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all pieces of docs (doc_id, text)."""
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, width: int = WIDTH, window: Column | None = None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all pieces of docs (doc_id, text). window: a document's window, an int from 0."""
     spark = docs.sparkSession
-    pieces = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut_pieces(vocabulary, length, width), PIECES))
+    classes = length // width + 1
+    numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (F.lit(0) if window is None else window).alias("window"))
+    pieces = materialize(numbered.mapInArrow(cut_pieces(vocabulary, length, width), PIECES))
     counts = pieces.groupBy("class", "task").agg(F.count("*").alias("n"))
-    demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    demand.pop(0, None)
-    ranges, sequences = plan(demand, length // width)
+    demand: dict[int, dict[int, int]] = {}
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        demand.setdefault(r["class"] // classes, {})[r["class"] % classes] = r["n"]
+    # For each class a table of plan(); a window's full sequences are one to a sequence, behind its others.
+    ranges: dict[int, np.ndarray] = {}
+    base = 0
+    for w, wanted in sorted(demand.items()):
+        full = wanted.pop(0, 0)
+        planned, sequences = plan(wanted, length // width)
+        for size, table in planned.items():
+            ranges[w * classes + size] = table + np.array([0, 0, base])
+        ranges[w * classes] = np.array([[0, 1, base + sequences]])
+        base += sequences + full
     sent = spark.sparkContext.broadcast(ranges)
     before = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -216,8 +236,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, wi
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, rank = batch.column("class").to_numpy(), batch.column("rank").to_numpy()
-            at = rank + sequences
-            for k in np.unique(kind[kind > 0]).tolist():
+            at = np.zeros(len(rank), np.int64)
+            for k in np.unique(kind).tolist():
                 rows = np.flatnonzero(kind == k)
                 table = sent.value[k]
                 which = np.searchsorted(table[:, 0], rank[rows], "right") - 1

@@ -1,6 +1,8 @@
 """The operators as stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame.
 
-Clashing names: stages work on the columns of documents under names of their own and return what docs had.
+Clashing names: stages work on the columns of documents under names of their own and return what docs had. Null ids and
+sources stay as they are; of rows that are alike in doc_id and text one goes on from the second stage; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     bare = known.filter("root is null").select("of_doc", F.col("text_hash").alias("of_hash")).distinct()
     rows = docs.select(COLUMNS).withColumn("at", at).withColumn("text_hash", F.xxhash64("text"))
     chosen = rows.join(least.unionByName(bare), (F.col("at") == F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")))
-    return chosen.dropDuplicates(["at", "text_hash"]).select(COLUMNS)
+    # Of rows that are alike in these the one with the least source, lang and n_chars, null first.
+    one = chosen.groupBy("at", "text_hash").agg(F.min(F.struct("source", "lang", "n_chars", "doc_id", "text")).alias("one"))
+    return one.select(*(F.col(f"one.{c}").alias(c) for c in COLUMNS))
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +64,15 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of training, as often as the mix takes them, each time at its own position: whole, and where it stops within one, its first words."""
-    sized = materialize(docs.select("doc_id", "source", op5.word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("row_hash")).dropDuplicates(["doc_id", "source", "row_hash"]))
-    taken = op5.mix(sized).filter("taken > 0").select(F.col("row_hash").alias("of_row"), F.col("doc_id").alias("of_doc"), "size", "taken", "positions")
-    joined = docs.select(*COLUMNS, F.xxhash64("doc_id", "source", "text").alias("row_hash")).join(taken, (F.col("row_hash") == F.col("of_row")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
+    """Documents in the order of training, as often as the mix takes them, each time at its own position: whole, and where it stops within one, its first words.
+
+    Rows alike in doc_id, source and text are one document. The order is that of rows in files by their part numbers.
+    """
+    at = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    rows = docs.select(*COLUMNS, at.alias("at"), F.xxhash64("doc_id", "source", "text").alias("row_hash"))
+    sized = materialize(rows.select("doc_id", "source", "at", "row_hash", op5.word_count(F.col("text")).alias("size")).dropDuplicates(["at", "row_hash"]))
+    taken = op5.mix(sized).filter("taken > 0").select(F.col("row_hash").alias("of_row"), F.col("at").alias("of_doc"), "size", "taken", "positions")
+    joined = rows.dropDuplicates(["at", "row_hash"]).join(taken, (F.col("row_hash") == F.col("of_row")) & (F.col("at") == F.col("of_doc"))).drop("at", "row_hash")
     copies = joined.select("*", F.posexplode("positions").alias("pass", "position")).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +98,27 @@ def first_words(text: str, count: int) -> str:
     return text[:end]
 
 
+#: Parts of the order of documents that sequences keep, at most, and documents in each, at least.
+WINDOWS, IN_WINDOW = 16, 8192
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences, as op4 returns them."""
-    return op4.pack(docs)
+    """Pieces and their places in sequences, as op4 returns them, numbered along the order of training.
+
+    That is the order of part numbers in docs' files: runs of files make up to WINDOWS windows, packed one behind the other. Docs
+    that aren't of such files are one window.
+    """
+    name = F.regexp_extract(F.input_file_name(), r"part-(\d{1,9})[^/]*$", 1)
+    part = F.when(name == "", F.lit("0")).otherwise(name).cast("int")
+    # As many rows as the writer had partitions.
+    counts = sorted(map(tuple, docs.select(part.alias("part")).groupBy("part").count().collect()))
+    total = sum(n for _, n in counts)
+    windows = max(1, min(WINDOWS, total // IN_WINDOW))
+    bounds, before, last = [], 0, 0
+    for number, n in counts:
+        if before * windows // max(total, 1) > last:
+            bounds.append(number)
+            last = before * windows // total
+        before += n
+    window = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<int>"), lambda b: b <= part)) if bounds else F.lit(0)
+    return op4.pack(docs, window=window)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestream.llm import op4_packing as op4
 from tests.llm.conftest import DOCS
@@ -43,7 +44,7 @@ def test_query(spark, sf):
 
 
 def test_awkward_rows(spark, awkward, write):
-    rows = [*awkward, (50, "a<|endoftext|>b", None, None, None), (51, "x " * 2047, None, None, None)]
+    rows = [*awkward, (50, "a<|endoftext|>b", None, None, None), (51, "x " * 2047, None, None, None), (52, "some words of a long text, " * 120_000, None, None, None)]
     check(rows, op4.op4_packing(spark, write(rows, DOCS)).collect())
     assert op4.op4_packing(spark, write([], DOCS)).count() == 0
 
@@ -77,3 +78,14 @@ def test_cutting_stock_finds_the_best_known():
     patterns = op4.cutting_stock({3: 100, 7: 100}, 10)
     assert abs(sum(n for _, n in patterns) - 100) < 1e-6
     assert all(sum(size * k for size, k in p.items()) <= 10 for p, _ in patterns)
+
+
+def test_windows_are_packed_one_behind_the_other(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{rnd.randrange(1000)}" for _ in range(rnd.choice((10, 200, 900, 3000))))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = op4.pack(docs, window=(F.col("doc_id") / 40).cast("int")).collect()
+    check([(*r, None, None, None) for r in rows], got)
+    of = [{r.sequence_id for r in got if r.doc_id // 40 == w} for w in range(3)]
+    assert max(of[0]) < min(of[1]) and max(of[1]) < min(of[2])
+    assert set().union(*of) == set(range(max(of[2]) + 1))

@@ -196,6 +196,14 @@ def test_short_linked_texts_are_one_component(spark, write):
     assert got == {i: i - i % 2 for i in range(len(rows))}
 
 
+def test_texts_over_a_slice(spark, write):
+    """Near copies of 3 MB each."""
+    words = [f"word{i}" for i in range(320_000)]
+    rows = [(i, " ".join(words[: len(words) - 10 * i]), None, None, None) for i in range(3)] + [(3, " ".join(words[:200_000]), None, None, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op3.op3_parity_join(spark, write(rows, DOCS)).collect())
+    assert got == [(0, 319_996, 0), (1, 319_986, 0), (2, 319_976, 0), (3, 199_996, 3)] and len(rows[0][1]) > 2 * 2**20
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (20, 20), (5, 6), (6, 5)] + [(i, i + 1) for i in range(100, 160)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

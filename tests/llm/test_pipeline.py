@@ -38,6 +38,35 @@ def test_stages_against_brute_force(spark, sf):
     assert check([], packed) < 0.05
 
 
+def test_sequences_follow_the_order_of_training(spark, sf, monkeypatch):
+    """In each tenth of the sequences a source has about the share of words that the mix gave it there."""
+    monkeypatch.setattr(stages, "IN_WINDOW", 20)
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{words} {i}", "en", "abc"[i % 3], 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = materialize(stages.mix_sources(spark, docs, sf))
+        packed = stages.pack_sequences(spark, mixed, sf).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    source = {r[0]: r[3] for r in rows}
+    end = max(r.sequence_id for r in packed) + 1
+    sources = sorted({"a", "b", "c"})
+    share = lambda tenth: [sum(r.length for r in packed if r.sequence_id * 10 // end == tenth and source[r.doc_id] == s) / sum(r.length for r in packed if r.sequence_id * 10 // end == tenth) for s in sources]
+    first, last = share(0), share(9)
+    # Weights 3, 1, 2 move to 1.5, 1, 2 times their ramps' start and end: a falls from 3/5.5 of the words, b rises from 0.5/5.5.
+    assert first[0] > last[0] + 0.1 and first[1] < last[1] - 0.05
+
+
+def test_equal_rows_are_one_document_in_the_mix(spark, sf):
+    rows = [(1, "a b c d e f", "en", "s", 11)] * 4 + [(i, f"x{i} y z q r t", "en", "s", 1) for i in (2, 3, 4)]
+    got = stages.mix_sources(spark, spark.createDataFrame(rows, DOCS), sf).collect()
+    assert sum(len(r.text.split()) for r in got) == 36 and max(sum(r.doc_id == i for r in got) for i in (1, 2, 3, 4)) <= 2
+
+
 def test_run_on_awkward_rows(spark, awkward, write):
     assert corpus_pipeline.run(spark, write(awkward, DOCS)).count() > 0
     assert corpus_pipeline.run(spark, write([], DOCS)).count() == 0
