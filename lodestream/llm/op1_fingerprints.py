@@ -158,9 +158,8 @@ def positions(fingerprint: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of grams; of two empty ones 1."""
-    common = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - common
-    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+    of = lambda common, union: F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+    return let(F.size(F.array_intersect(a, b)), lambda common: let(F.size(a) + F.size(b) - common, lambda union: of(common, union)))
 
 
 def digest(fingerprint: Column) -> Column:
