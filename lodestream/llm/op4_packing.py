@@ -10,7 +10,7 @@ task's work. A pattern takes a range of ranks of each of its classes, which tell
 the driver holds, histogram, patterns and ranges, is bounded by classes and patterns, whatever the number of rows.
 
 Documents may come in windows, numbered in the order in which sequences are to be used, as along a curriculum: each
-window is planned for itself, and its sequences are numbered behind those of the windows before.
+window is planned for itself, in a task of its own, and its sequences are numbered behind those of the windows before.
 
 Null text is empty: one token, the end. Equal rows and rows with one doc_id are packed each for itself. An empty table has no
 pieces. Columns other than doc_id and text are not read.
@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.llm.common import documents, materialize, slices
+from lodestream.llm.common import documents, materialize, partitions, slices
 
 LENGTH = 2048
 WIDTH = 8
@@ -208,6 +209,23 @@ def plan(demand: dict[int, int], room: int) -> tuple[dict[int, np.ndarray], int]
     return {s: np.array(r, np.int64).reshape(-1, 3) for s, r in ranges.items()}, sequence
 
 
+PLAN = "window int, size int, first long, each long, sequence long"
+
+
+def plan_window(classes: int, room: int):
+    """A window's plan from its classes' counts: for each size rows (first rank, pieces for each sequence, first sequence); size 0: full sequences, behind the others; -1: the number of sequences."""
+
+    def run(table: pa.Table) -> pa.Table:
+        demand = dict(zip((table["class"].to_numpy() % classes).tolist(), table["n"].to_pylist(), strict=True))
+        full = demand.pop(0, 0)
+        ranges, sequences = plan(demand, room)
+        rows = [(size, *row) for size, found in ranges.items() for row in found.tolist()] + [(0, 0, 1, sequences), (-1, 0, 0, sequences + full)]
+        window = [table["window"][0].as_py()] * len(rows)
+        return pa.table([pa.array(c, pa.int32() if i < 2 else pa.int64()) for i, c in enumerate([window, *zip(*rows, strict=True)])], names=[x.split()[0] for x in PLAN.split(", ")])
+
+    return run
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, width: int = WIDTH, window: Column | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all pieces of docs (doc_id, text). window: a document's window, an int from 0."""
     spark = docs.sparkSession
@@ -215,19 +233,16 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, wi
     numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (F.lit(0) if window is None else window).alias("window"))
     pieces = materialize(numbered.mapInArrow(cut_pieces(vocabulary, length, width), PIECES))
     counts = pieces.groupBy("class", "task").agg(F.count("*").alias("n"))
-    demand: dict[int, dict[int, int]] = {}
-    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():
-        demand.setdefault(r["class"] // classes, {})[r["class"] % classes] = r["n"]
-    # For each class a table of plan(); a window's full sequences are one to a sequence, behind its others.
-    ranges: dict[int, np.ndarray] = {}
-    base = 0
-    for w, wanted in sorted(demand.items()):
-        full = wanted.pop(0, 0)
-        planned, sequences = plan(wanted, length // width)
-        for size, table in planned.items():
-            ranges[w * classes + size] = table + np.array([0, 0, base])
-        ranges[w * classes] = np.array([[0, 1, base + sequences]])
-        base += sequences + full
+    by_window = counts.groupBy("class").agg(F.sum("n").alias("n")).withColumn("window", F.floor(F.col("class") / classes).cast("int"))
+    planned = by_window.repartition(partitions(spark), "window").groupBy("window").applyInArrow(plan_window(classes, length // width), PLAN).collect()
+    # For each class a table of plan(), its sequences numbered behind those of the windows before.
+    tables: dict[int, list[tuple[int, int, int]]] = {}
+    sizes = sorted((r["window"], r["sequence"]) for r in planned if r["size"] < 0)
+    bases = {w: end - n for (w, n), end in zip(sizes, accumulate(n for _, n in sizes), strict=True)}
+    for r in planned:
+        if r["size"] >= 0:
+            tables.setdefault(r["window"] * classes + r["size"], []).append((r["first"], r["each"], bases[r["window"]] + r["sequence"]))
+    ranges = {kind: np.array(sorted(rows), np.int64) for kind, rows in tables.items()}
     sent = spark.sparkContext.broadcast(ranges)
     before = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
