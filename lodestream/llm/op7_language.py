@@ -28,7 +28,8 @@ LANDMARKS = 512
 RIDGE = 0.1
 CELL_BITS = 15
 CELLS = 1 << CELL_BITS
-ROWS = 256
+#: Texts, and bytes of them but for a longer text, that are taken at once.
+ROWS, BYTES = 128, 1 << 19
 
 _PLAIN = np.arange(256, dtype=np.int64)
 _PLAIN[:128] = 32
@@ -109,7 +110,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, list[str]] | None:
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for run in slices(batch):
+    for run in slices(batch, most=BYTES):
         for at in range(0, run.num_rows, ROWS):
             yield run.slice(at, ROWS)
 
