@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import weakref
 from collections.abc import Iterator
@@ -19,7 +20,19 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 
 
+#: Bytes of an Arrow batch, where the session names no bound of its own; by default it is 64 MB, several times in each task.
+BATCH = 1 << 23
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by BATCH, unless the session has set a bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +68,12 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+try:  # glibc keeps what is freed
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column one after another, and offsets of its rows; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -71,13 +90,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about `most` bytes of text each; a longer text is a run of its own."""
+    """The batch in runs of rows with about `most` bytes of text each; a longer text is a run of its own. Behind the last, free memory goes back to the system."""
     _, offsets = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def sorted_tables(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, split: bool = False) -> Iterator[tuple[pa.Table, bool]]:

@@ -18,7 +18,7 @@ from lodestream.llm import op4_packing as op4
 from lodestream.llm import op5_mixing as op5
 from lodestream.llm import op7_language as op7
 from lodestream.llm import op8_suffix_dedup as op8
-from lodestream.llm.common import materialize
+from lodestream.llm.common import bound_batches, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,6 +28,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A low score rejects nothing: short clean texts have low scores.
     """
+    bound_batches(spark)
     found = op7.identify(docs.select(COLUMNS), op7.train(op7.learnable(docs)), COLUMNS)
     return found.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
