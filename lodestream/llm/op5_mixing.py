@@ -12,7 +12,8 @@ p * source_size + start. The query's position is that of the first pass.
 
 Within a source documents stand in the order of a hash of doc_id. The running size
 is taken in two steps, so that a source with a third of all rows is no single task:
-sums of `BUCKETS` hash ranges for each source, then rows within a range.
+sums of 4096 hash ranges for each source, then rows within a range. Rows without a doc_id have one hash;
+they are a range for each size.
 
 Null text: size 0, taken 0. A null source is a source of its own, the last. Rows
 with one doc_id are separate documents; of equal rows it doesn't matter which is first.
@@ -74,10 +75,23 @@ def position(done: Column, slope: Column) -> Column:
     return F.lit(2.0) * done / (rise + F.sqrt(F.greatest(rise * rise - F.lit(4.0) * slope * done, F.lit(0.0))))
 
 
+def hash_key(doc_id: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
+def hash_range(doc_id: Column, size: Column) -> Column:
+    """The range of a row's hash, ordered like the hash; the one that rows without a doc_id fall into is split before, among (by size) and behind them."""
+    key, null = hash_key(doc_id), hash_key(F.lit(None))
+    start = F.substring(key, 1, 3)
+    among = F.when(doc_id.isNull(), F.concat(F.lit("1"), F.lpad(size.cast("string"), 19, "0"))).otherwise(F.when(key < null, F.lit("0")).otherwise(F.lit("2")))
+    return F.when(start == F.substring(null, 1, 3), F.concat(start, among)).otherwise(start)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """docs (doc_id, source, size, and any others) with source_size, target, taken, positions (one for each pass that takes of it; null: not taken) and position, the first."""
-    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("key", 1, 3))
-    sums = docs.select("source", "size", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3).alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    bucket = hash_range(F.col("doc_id"), F.col("size"))
+    keyed = docs.withColumn("key", hash_key(F.col("doc_id"))).withColumn("bucket", bucket)
+    sums = docs.select("source", "size", bucket.alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(up_to), F.lit(0)))
     plan = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, ramps, share, most)

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import random
 from itertools import accumulate
 
+import duckdb
+
+from pyspark.sql import functions as F
+
 from lodestream.llm import stages
-from lodestream.llm.op5_mixing import RAMPS, SQL, mix, op5_mixing
+from lodestream.llm.op5_mixing import RAMPS, SQL, hash_key, hash_range, mix, op5_mixing
 from tests.llm.conftest import DOCS
 from tests.llm.test_sharding import same
 
@@ -69,3 +74,21 @@ def test_taken_words_follow_the_ramps_in_every_pass(spark, write):
     for end in range(100, len(copies), 100):
         for source in "abc":
             assert abs(sum(r.source == source for r in mixed[:end]) - sum(c[2] == source for c in copies[:end])) <= 2
+
+
+def test_rows_without_an_id_are_a_range_for_each_size(spark, write):
+    """A third of all rows has no doc_id; ids around them that share the start of their hash are in order, too."""
+    rnd = random.Random(11)
+    ids = [*range(40_000), *[None] * 20_000]
+    rnd.shuffle(ids)
+    rows = [(i, "w " * rnd.randint(0, 60), "en", rnd.choice("ab"), 0) for i in ids]
+    folder = write(rows, DOCS, extra=None)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    assert same(op5_mixing(spark, folder), con, SQL)
+    sizes = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", (F.length("text") / 2).cast("bigint").alias("size"))
+    ranges = sizes.select("doc_id", "size", hash_key(F.col("doc_id")).alias("key"), hash_range(F.col("doc_id"), F.col("size")).alias("r")).collect()
+    assert len({r.r for r in ranges if r.doc_id is None}) == 61
+    assert {r.r[3:] for r in ranges if r.doc_id is not None} == {"", "0", "2"}
+    order = sorted(ranges, key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0, r.size))
+    assert [r.r for r in order] == sorted(r.r for r in order)
