@@ -7,7 +7,7 @@ kernel is an inner product of the sets, landmarks and weights fold into one cell
 product of a batch's sets with it. Every n-gram of a whole text counts.
 
 Learned from a sample of at most `TRAIN` labelled rows, drawn by a hash of doc_id in like number for each language
-(a bound, so that the model's cost doesn't grow); all rows are predicted. Rows with a null doc_id are not learned
+(a bound, so that the model's cost doesn't grow); of more than `TRAIN` languages the most frequent. All rows are predicted. Rows with a null doc_id are not learned
 from and not held out. Texts that are null or have no letter are `und` with score 0, as are all if nothing can be
 learned. Of languages with equal scores the first in order wins. Scores map a regression value of -1 to 0, 1 to 1.
 """
@@ -83,12 +83,12 @@ def draw(hash_: Column) -> Column:
 def train(labelled: DataFrame) -> tuple[np.ndarray, list[str]] | None:
     """Fits on (doc_id, text, lang); None without a text to learn from."""
     known = labelled.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counts = dict(map(tuple, known.groupBy("lang").count().collect()))
+    counts = dict(map(tuple, known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN).collect()))
     if not counts:
         return None
-    quota = max(1, TRAIN // len(counts))
-    # Half more than the quota is drawn, so that chance seldom leaves less; what is over is cut off below.
-    share = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*(F.lit(v) for name, n in counts.items() for v in (name, min(1.0, 1.5 * quota / n)))), lambda k, v: k == F.col("lang"))), F.lit(0)), F.lit(0.0))
+    quota = TRAIN // len(counts)
+    # Half more than the quota is drawn, and some, so that chance seldom leaves less, of a quota of one too; what is over is cut off below.
+    share = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*(F.lit(v) for name, n in counts.items() for v in (name, min(1.0, (1.5 * quota + 16) / n)))), lambda k, v: k == F.col("lang"))), F.lit(0)), F.lit(0.0))
     order = F.xxhash64("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, list[str]] | None:
     rows = known.filter(draw(order) < share).select(order.alias("order"), "lang", "text").mapInArrow(sets, "order long, lang string, bits binary").collect()
     taken: dict[str, int] = {}
     chosen = []
-    for r in sorted(rows, key=lambda r: (r.order, r.lang, bytes(r.bits))):
+    for r in sorted(rows, key=lambda r: (r.order % (1 << 64), r.lang, bytes(r.bits))):
         taken[r.lang] = taken.get(r.lang, 0) + 1
         if taken[r.lang] <= quota:
             chosen.append(r)

@@ -90,3 +90,11 @@ def test_a_text_over_a_slice_is_read_whole(spark, write):
     long = "the house and the river of " * 120_000
     got = {r.doc_id: r for r in op7_language(spark, write([*rows, (1000, long, None, None, 1)], DOCS)).collect()}
     assert got[1000].lang_pred == "en" and len(long) > 3_000_000
+
+
+def test_more_languages_than_rows_to_learn_from(spark, monkeypatch):
+    """The bound holds: the most frequent languages, a row of each, however few a draw may give."""
+    monkeypatch.setattr(op7, "TRAIN", 8)
+    rows = [(1000 * k + i, f"wort{k} haus{k} baum{k} {i}", f"l{k:02d}") for k in range(12) for i in range(200 if k < 8 else 20)]
+    model = op7.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model[1] == [f"l{k:02d}" for k in range(8)]
