@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestream.llm.common import BASE, BYTE_WORDS, INVERSE, cached_powers, documents, materialize, mix, partitions, powers, release, slices, sorted_tables, text_bytes
 
@@ -413,13 +412,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     marks = materialize(repeated.groupBy("at", "text_hash").agg(F.collect_set(F.struct("start", "strings")).alias("marks")))
     release(runs, strings, wanted)
     known = (
-        slim.join(earliest, "text_hash").select("at", "text_hash", (F.col("at") > F.col("first")).alias("copy"))
+        slim.join(earliest, "text_hash").select("at", "text_hash", "rows", (F.col("at") > F.col("first")).alias("copy"))
         .join(marks, ["at", "text_hash"], "left").withColumnsRenamed({"at": "of_at", "text_hash": "of_hash"})
     )
     joined = hashed.join(known, (F.col("at") == F.col("of_at")) & (F.col("text_hash") == F.col("of_hash")))
-    # Of equal rows one is the first; it doesn't matter which.
-    number = F.row_number().over(Window.partitionBy("at", "text_hash").orderBy(F.lit(1)))
-    return joined.withColumn("copy", F.col("copy") | (number > 1)).select(*docs.columns, "copy", "marks")
+    told = joined.filter("copy or rows = 1").select(*docs.columns, "copy", "marks")
+    if slim.filter("rows > 1").limit(1).count():
+        told = told.unionByName(first_of_equal(joined.filter("rows > 1 and not copy")).select(*docs.columns, "copy", "marks"))
+    return told
+
+
+def first_of_equal(rows: DataFrame) -> DataFrame:
+    """Of rows alike in at and text_hash all but one become copies; it doesn't matter which. However many are alike, no task gathers them."""
+    numbered = materialize(rows.withColumn("row_no", F.monotonically_increasing_id()))
+    first = numbered.groupBy("at", "text_hash").agg(F.min("row_no").alias("first_no")).select("first_no")
+    return numbered.join(first, F.col("row_no") == F.col("first_no"), "left").withColumn("copy", F.col("first_no").isNull())
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
